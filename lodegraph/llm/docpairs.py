@@ -241,7 +241,8 @@ def _pairs_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for f in functions(text, family(path, lang)):
                 if says_something(f.doc, f.name):
                     rows.append((i, f.name, f.start, f.end, f.doc.strip(), f.code))
-        yield pd.DataFrame(rows, columns=["chunk_id", "name", "start", "end", "doc", "code"])
+        if rows:
+            yield pd.DataFrame(rows, columns=["chunk_id", "name", "start", "end", "doc", "code"])
 
 
 def _names_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

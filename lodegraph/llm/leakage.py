@@ -256,7 +256,8 @@ def leaked_items(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id",
                     hashes = [x.sentence_hash[s] for s in by_sentence]
                     for i in x.ids[t]:
                         out.append((b["doc_id"].iloc[at], i, hashes, list(by_sentence.values())))
-                yield pd.DataFrame(out, columns=["doc_id", "item_id", "sentences", "n"])
+                if out:
+                    yield pd.DataFrame(out, columns=["doc_id", "item_id", "sentences", "n"])
 
         return d.mapInPandas(match, "doc_id long, item_id long, sentences array<long>, n array<int>")
 

@@ -178,6 +178,7 @@ def split_oversized(df: DataFrame, record_id: str = "id", text: str = "content",
                 m = _Measure(t)
                 for no, (s, e, o) in enumerate(split(t, k, max_words, max_bytes, overlap_words)):
                     rows.append((i, h, no, s, e, o, m.n_words(s, e), m.n_bytes(s, e), t[s:e]))
-            yield pd.DataFrame(rows, columns=["chunk_id", "version", "piece_no", "start", "end", "overlap_chars", "n_words", "n_bytes", "text"])
+            if rows:
+                yield pd.DataFrame(rows, columns=["chunk_id", "version", "piece_no", "start", "end", "overlap_chars", "n_words", "n_bytes", "text"])
 
     return d.mapInPandas(cut, "chunk_id long, version long, piece_no int, start int, end int, overlap_chars int, n_words int, n_bytes int, text string")
