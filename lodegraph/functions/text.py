@@ -8,6 +8,7 @@ from functools import lru_cache
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Words the keyword index leaves out.
 STOPWORDS = (
@@ -32,32 +33,47 @@ def decomposed() -> tuple[str, str]:
     return "".join(a), "".join(b)
 
 
+def _ranges(chars: str) -> str:
+    """A character class as ranges; a class of single characters is tested one by one."""
+    out, start, last = [], None, None
+    for c in sorted(map(ord, chars)):
+        if start is None or c != last + 1:
+            if start is not None:
+                out.append((start, last))
+            start = c
+        last = c
+    out.append((start, last))
+    return "".join(chr(x) if x == y else f"{chr(x)}-{chr(y)}" for x, y in out)
+
+
 def split_accents(col: Column) -> Column:
     """Compatibility decomposition for letters with marks, native. A mark ends a word, so a blank stands for it.
 
-    Exact for every letter that is one base letter with marks; ligatures and compatibility forms need ``nfkd``.
+    Exact for every letter that is one base letter with marks; ligatures and compatibility forms need ``nfkd``. Plain
+    ASCII texts, told by their length in bytes, are left as they are.
     """
     a, b = decomposed()
-    return F.translate(F.regexp_replace(col, f"([{a}])", "$1 "), a, b)
+    plain = F.octet_length(col) == F.length(col)
+    return F.when(plain, col).otherwise(F.translate(F.regexp_replace(col, f"([{_ranges(a)}])", "$1 "), a, b))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfkd(s: pd.Series) -> pd.Series:
     """Full compatibility decomposition, for texts with ligatures or compatibility forms."""
     return s.map(lambda x: x if x is None or x.isascii() else unicodedata.normalize("NFKD", x))
 
 
 def tokens(col: Column, stopwords=STOPWORDS, decompose: bool = True) -> Column:
-    """Keyword tokens, in order, repeats kept: words of at least 2 bytes that are no stopwords, and the parts of words with ``_``."""
+    """Keyword tokens, repeats kept: words of at least 2 bytes that are no stopwords, then the parts of words with ``_``."""
     text = F.lower(split_accents(col) if decompose else col)
-    words = F.filter(F.split(text, SPLIT), lambda w: F.octet_length(w) >= 2)
-    keep = (lambda w: ~w.isin(*stopwords)) if stopwords else (lambda w: F.lit(True))
 
-    def parts(w):
-        own = F.filter(F.array(w), keep)
-        return F.when(F.contains(w, F.lit("_")), F.concat(own, F.filter(F.split(w, "_"), lambda p: (F.octet_length(p) >= 2) & keep(p)))).otherwise(own)
+    def good(w: Column) -> Column:
+        long = F.octet_length(w) >= 2
+        return long & ~w.isin(*stopwords) if stopwords else long
 
-    return F.flatten(F.transform(words, parts))
+    words = F.split(text, SPLIT)
+    joined = F.array_join(F.filter(words, lambda w: F.contains(w, F.lit("_")) & (F.octet_length(w) >= 2)), "_")
+    return F.when(F.contains(text, F.lit("_")), F.concat(F.filter(words, good), F.filter(F.split(joined, "_"), good))).otherwise(F.filter(words, good))
 
 
 def embedding_tokens(col: Column) -> Column:

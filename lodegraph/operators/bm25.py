@@ -72,14 +72,19 @@ def score_scan(df: DataFrame, record_id: str, text: str, query: str, k1: float =
     """(record_id, score) of one query in one scan: each text counts the query's terms itself."""
     terms = query_terms(query)
     t = tokenized(df, record_id, text)
-    tf = [F.size(F.filter("tokens", lambda w, x=x: w == F.lit(x))).alias(f"tf{i}") for i, x in enumerate(terms)]
-    t = t.select(record_id, F.size("tokens").alias("dl"), *tf)
     if not terms:
         return t.select(record_id, F.lit(0.0).alias("score")).where(F.lit(False))
+    t = t.select(record_id, F.size("tokens").alias("dl"), F.filter("tokens", lambda w: w.isin(*terms)).alias("hits"))
+
+    def times(term: str) -> Column:
+        return F.size(F.filter("hits", lambda w: w == F.lit(term)))
+
+    t = t.select(record_id, "dl", *(times(x).alias(f"tf{i}") for i, x in enumerate(terms)))
     stats = t.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *(F.sum((F.col(f"tf{i}") > 0).cast("long")).alias(f"df{i}") for i in range(len(terms))))
-    s = t.where(" OR ".join(f"tf{i} > 0" for i in range(len(terms)))).join(F.broadcast(stats))
-    total = sum((idf(F.col("n"), F.col(f"df{i}")) * tf_norm(F.col(f"tf{i}"), F.col("dl"), F.col("avgdl"), k1, b) for i in range(len(terms))), F.lit(0.0))
-    return s.where("n > 0 and avgdl > 0").select(record_id, total.alias("score"))
+    parts = [F.when(F.col(f"tf{i}") > 0, idf(F.col("n"), F.col(f"df{i}")) * tf_norm(F.col(f"tf{i}"), F.col("dl"), F.col("avgdl"), k1, b)).otherwise(0.0) for i in range(len(terms))]
+    # the test on the finished score stays above the join, so no text is tokenized again to be filtered
+    s = t.join(F.broadcast(stats)).where("n > 0 and avgdl > 0").select(record_id, sum(parts, F.lit(0.0)).alias("score"))
+    return s.where("score > 0")
 
 
 def top(scored: DataFrame, record_id: str, k: int) -> DataFrame:

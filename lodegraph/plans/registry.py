@@ -1,15 +1,594 @@
-"""Every query of the library by name, with the SQL that checks it."""
+"""Every query of the library by name, with the SQL that checks it.
+
+Queries run over whole tables. ``chunks`` has repeated rows, so each query counts an id once; nodes and edges likewise.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import hashing, languages, text
+from ..functions.hashing import embed_text
+from ..operators import bm25, chunking, fusion, graph_analytics, graph_build, scans, vector
+from ..streaming import upsert
+
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, Callable[[], str]] = {}
+
+SEARCH_TEXT = "decode ledger checksum retry"
+SEARCH_TEXTS = {1: SEARCH_TEXT, 2: "blocks until the lease is handed over", 3: "snapshot position compact format", 4: "Index des token bereits geschlossen"}
+
+
+def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
 
+def query(sql: Callable[[], str] | str | None = None, name: str | None = None):
+    """Registers a query by its function's name, with the SQL that gives the same rows."""
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    def add(f: Query) -> Query:
+        n = name or f.__name__
+        _QUERIES[n] = f
+        if sql is not None:
+            _SQL[n] = sql if callable(sql) else (lambda: sql)
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {n: f() for n, f in _SQL.items()}
+
+
+def files_of(spark: SparkSession, sf: str) -> DataFrame:
+    """Files as (path, language, content): what the change feed has left of them, and their chunks' language."""
+    f = upsert.live_content(table(spark, sf, "change_feed")).where("content is not null")
+    return f.select("path", languages.language_of(F.col("path")).alias("language"), "content").where("language is not null")
+
+
+# --- SQL fragments -----------------------------------------------------------------------------------------------
+
+
+def _q(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def _list(xs) -> str:
+    return ", ".join(_q(x) for x in xs)
+
+
+ONE = "(SELECT * FROM chunks QUALIFY row_number() OVER (PARTITION BY id ORDER BY id) = 1)"
+NODES = "(SELECT * FROM nodes WHERE id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY id ORDER BY id) = 1)"
+EDGES = "(SELECT DISTINCT src, dst, kind FROM edges WHERE src IS NOT NULL AND dst IS NOT NULL)"
+CALLS = f"(SELECT src, dst FROM {EDGES} WHERE kind = 'calls')"
+IMPORTS = f"(SELECT src, dst FROM {EDGES} WHERE kind = 'imports')"
+
+
+def sql_tokens(col: str, stop: bool = True, decompose: bool = True) -> str:
+    """The tokenizer in SQL: a list of tokens."""
+    a, b = text.decomposed()
+    t = f"lower(translate(regexp_replace({col}, '([{a}])', '\\1 ', 'g'), '{a}', '{b}'))" if decompose else f"lower({col})"
+    words = f"list_filter(regexp_split_to_array({t}, '{text.SPLIT_SQL}'), lambda w: strlen(w) >= 2)"
+    keep = f"x NOT IN ({_list(text.STOPWORDS)})" if stop else "true"
+    parts = "CASE WHEN contains(w, '_') THEN list_concat([w], list_filter(string_split(w, '_'), lambda p: strlen(p) >= 2)) ELSE [w] END"
+    return f"list_filter(flatten(list_transform({words}, lambda w: {parts})), lambda x: {keep})"
+
+
+def sql_language(language: str = "language", path: str = "file_path") -> str:
+    al = " ".join(f"WHEN {_q(a)} THEN {_q(v)}" for a, v in languages.ALIASES.items() if a not in languages.EXTENSIONS)
+    ex = " ".join(f"WHEN {_q(e)} THEN {_q(v)}" for v, es in languages.EXTENSIONS.items() for e in es)
+    low = f"lower(trim({language}))"
+    ext = f"lower(list_last(string_split(list_last(string_split({path}, '/')), '.')))"
+    return f"coalesce(CASE {low} {al} END, CASE WHEN {low} IN ({_list(languages.EXTENSIONS)}) THEN {low} END, CASE {ext} {ex} END)"
+
+
+def sql_lines(col: str) -> str:
+    return f"(CASE WHEN {col} = '' THEN [] ELSE string_split(regexp_replace(regexp_replace({col}, '\\r?\\n$', ''), '\\r\\n', '\n', 'g'), chr(10)) END)".replace("'\n'", "chr(10)")
+
+
+def _bm25_sql(terms: list[str], k: int | None, ids: str = "chunk_id", src: str = "", where: str = "") -> str:
+    src = src or f"(SELECT id AS chunk_id, {sql_tokens('content')} AS t FROM {ONE})"
+    return f"""
+      d AS (SELECT {ids}, t, len(t) AS dl FROM {src}),
+      s AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM d),
+      p AS (SELECT {ids}, dl, q.term, len(list_filter(t, lambda x: x = q.term)) AS tf FROM d, (SELECT unnest([{_list(terms)}]) AS term) q),
+      f AS (SELECT term, count(*) FILTER (WHERE tf > 0) AS df FROM p GROUP BY term),
+      kw AS (SELECT {ids}, round(sum(greatest(0.0, ln((n - df + 0.5) / (df + 0.5) + 1)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 6) AS score
+             FROM p JOIN f USING (term), s WHERE tf > 0 {where} GROUP BY {ids} {f'ORDER BY score DESC, {ids} LIMIT {k}' if k else ''})"""
+
+
+def _vector_sql(q: list[float], k: int) -> str:
+    lit = "[" + ", ".join(repr(float(x)) for x in q) + "]::DOUBLE[]"
+    return f"""
+      v AS (SELECT chunk_id, vec::DOUBLE[] AS x FROM (SELECT DISTINCT embedding_id, chunk_id, vec FROM vectors) WHERE vec IS NOT NULL AND len(vec) = {len(q)} AND list_inner_product(vec::DOUBLE[], vec::DOUBLE[]) > 1e-16),
+      sem AS (SELECT DISTINCT chunk_id, round(list_inner_product(x, {lit}) / sqrt(list_inner_product(x, x)), 6) AS score FROM v ORDER BY score DESC, chunk_id LIMIT {k})"""
+
+
+# --- retrieval ---------------------------------------------------------------------------------------------------
+
+
+@query(lambda: f"WITH {_bm25_sql(text.query_terms(SEARCH_TEXT), 50)} SELECT chunk_id, score FROM kw")
+def keyword_search(spark: SparkSession, sf: str) -> DataFrame:
+    c = table(spark, sf, "chunks").dropDuplicates(["id"]).select(F.col("id").alias("chunk_id"), "content")
+    return bm25.top(bm25.score_scan(c, "chunk_id", "content", SEARCH_TEXT), "chunk_id", 50)
+
+
+@query(lambda: f"WITH {_vector_sql(embed_text(SEARCH_TEXT), 50)} SELECT chunk_id, score FROM sem")
+def vector_search(spark: SparkSession, sf: str) -> DataFrame:
+    return vector.nearest(table(spark, sf, "vectors"), "chunk_id", "vec", [(0, embed_text(SEARCH_TEXT))], 50).select("chunk_id", "score")
+
+
+def _hybrid_sql(depth: int, limit: int, language: str | None) -> str:
+    return f"""
+    WITH RECURSIVE {_bm25_sql(text.query_terms(SEARCH_TEXT), depth)}, {_vector_sql(embed_text(SEARCH_TEXT), depth)},
+      lists AS (SELECT chunk_id, row_number() OVER (ORDER BY score DESC, chunk_id) - 1 AS r, 1 AS kw, 0 AS sem FROM kw
+               UNION ALL SELECT chunk_id, row_number() OVER (ORDER BY score DESC, chunk_id) - 1, 0, 1 FROM sem),
+      fz AS MATERIALIZED (SELECT chunk_id, round(sum(1.0::DOUBLE / (60 + r + 1)), 9) AS score, CASE WHEN max(kw) + max(sem) = 2 THEN 'HYBRID' WHEN max(kw) = 1 THEN 'KW' ELSE 'SEM' END AS signal FROM lists GROUP BY chunk_id),
+      hz AS MATERIALIZED (SELECT fz.*, c.file_path, c.line_start, c.line_end, {sql_language('c.language', 'c.file_path')} AS language, c.chunk_type FROM fz JOIN {ONE} c ON c.id = fz.chunk_id),
+      g AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY file_path ORDER BY score DESC, chunk_id) AS n FROM hz {f"WHERE language = {_q(language)}" if language else ''}),
+      walk AS (
+        SELECT file_path, n, [chunk_id] AS ids, [{{'s': line_start, 'e': line_end}}] AS kept FROM g WHERE n = 1
+        UNION ALL
+        SELECT w.file_path, g.n,
+          CASE WHEN drop_it THEN ids ELSE list_append(ids, g.chunk_id) END, CASE WHEN drop_it THEN kept ELSE list_append(kept, {{'s': line_start, 'e': line_end}}) END
+        FROM walk w JOIN g ON g.file_path = w.file_path AND g.n = w.n + 1,
+          LATERAL (SELECT len(list_filter(w.kept, lambda k: least(k.e - k.s, g.line_end - g.line_start) > 0 AND greatest(0, least(k.e, g.line_end) - greatest(k.s, g.line_start)) / greatest(1, least(k.e - k.s, g.line_end - g.line_start)) > 0.5)) > 0 AS drop_it)),
+      keep AS (SELECT unnest(ids) AS chunk_id FROM (SELECT file_path, arg_max(ids, n) AS ids FROM walk GROUP BY file_path))
+    SELECT g.chunk_id, g.file_path, g.line_start, g.line_end, g.language, g.chunk_type, g.score, g.signal FROM g JOIN keep USING (chunk_id) ORDER BY g.score DESC, g.chunk_id LIMIT {limit}"""
+
+
+HIT = ["chunk_id", "file_path", "line_start", "line_end", "language", "chunk_type", "score", "signal"]
+
+
+@query(lambda: _hybrid_sql(50, 10, None))
+def hybrid_search(spark: SparkSession, sf: str) -> DataFrame:
+    return fusion.search(table(spark, sf, "chunks"), table(spark, sf, "vectors"), SEARCH_TEXT).select(*HIT)
+
+
+@query(lambda: _hybrid_sql(200, 12, "rs"))
+def hybrid_search_language(spark: SparkSession, sf: str) -> DataFrame:
+    return fusion.search(table(spark, sf, "chunks"), table(spark, sf, "vectors"), SEARCH_TEXT, 12, "rust").select(*HIT)
+
+
+@query()
+def search_similar(spark: SparkSession, sf: str) -> DataFrame:
+    return fusion.search_similar(table(spark, sf, "chunks"), table(spark, sf, "vectors"), "fn refresh_cache(ledger: u64) -> usize { ledger.push(digest); }").select(*HIT)
+
+
+@query()
+def merged_indexes(spark: SparkSession, sf: str) -> DataFrame:
+    """One ranking over the repositories as indexes of their own."""
+    c, v = table(spark, sf, "chunks"), table(spark, sf, "vectors")
+    roots = [r[0] for r in c.select("root_dir").where("root_dir is not null").distinct().orderBy("root_dir").limit(3).collect()]
+    parts = [fusion.search(c.where(F.col("root_dir") == r), v, SEARCH_TEXT).select(*HIT) for r in roots]
+    return fusion.merge_indexes(parts, 12) if parts else fusion.search(c, v, SEARCH_TEXT).select(*HIT)
+
+
+@query(f"""WITH t AS (SELECT id, unnest({sql_tokens('content')}) AS term FROM {ONE}) SELECT term, id AS chunk_id, CAST(count(*) AS INTEGER) AS tf FROM t GROUP BY ALL""")
+def postings(spark: SparkSession, sf: str) -> DataFrame:
+    return bm25.postings(bm25.tokenized(table(spark, sf, "chunks").dropDuplicates(["id"]).withColumnRenamed("id", "chunk_id"), "chunk_id", "content"), "chunk_id")
+
+
+@query(f"""WITH t AS (SELECT DISTINCT id, unnest({sql_tokens('content')}) AS term FROM {ONE}) SELECT term, count(*) AS df FROM t GROUP BY ALL""")
+def term_frequencies(spark: SparkSession, sf: str) -> DataFrame:
+    return bm25.term_df(postings(spark, sf))
+
+
+@query(f"""WITH t AS (SELECT len({sql_tokens('content')}) AS dl FROM {ONE}) SELECT count(*) AS n, round(avg(dl), 6) AS avgdl, max(dl) AS longest FROM t""")
+def corpus_statistics(spark: SparkSession, sf: str) -> DataFrame:
+    t = bm25.tokenized(table(spark, sf, "chunks").dropDuplicates(["id"]), "id", "content")
+    return bm25.doc_lengths(t, "id").agg(F.count("*").alias("n"), F.round(F.avg("dl"), 6).alias("avgdl"), F.max("dl").alias("longest"))
+
+
+@query(f"""SELECT count(DISTINCT term) AS vocabulary FROM (SELECT unnest({sql_tokens('content')}) AS term FROM {ONE})""")
+def vocabulary(spark: SparkSession, sf: str) -> DataFrame:
+    return bm25.vocabulary_size(postings(spark, sf))
+
+
+def _batch_sql() -> str:
+    rows = ", ".join(f"({i}, {_q(t)})" for i, s in SEARCH_TEXTS.items() for t in text.query_terms(s))
+    return f"""
+    WITH q(query_id, term) AS (VALUES {rows}), d AS (SELECT doc_id, {sql_tokens('text')} AS t FROM documents WHERE text IS NOT NULL), l AS (SELECT doc_id, len(t) AS dl FROM d),
+      s AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM l), p AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(t) AS term FROM d) GROUP BY ALL), f AS (SELECT term, count(*) AS df FROM p GROUP BY term),
+      r AS (SELECT query_id, doc_id, round(sum(greatest(0.0, ln((n - df + 0.5) / (df + 0.5) + 1)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 6) AS score FROM q JOIN p USING (term) JOIN f USING (term) JOIN l USING (doc_id), s GROUP BY ALL)
+    SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM r QUALIFY rank <= 10"""
+
+
+@query(_batch_sql)
+def batch_keyword_search(spark: SparkSession, sf: str) -> DataFrame:
+    """Several queries over the documents in one job."""
+    from pyspark.sql import Window
+
+    d = table(spark, sf, "documents").where("text is not null")
+    t = bm25.tokenized(d, "doc_id", "text")
+    post = bm25.postings(t, "doc_id")
+    lengths = bm25.doc_lengths(t, "doc_id")
+    q = spark.createDataFrame([(i, x) for i, s in SEARCH_TEXTS.items() for x in text.query_terms(s)], "query_id int, term string")
+    r = bm25.score_index(post, bm25.term_df(post), lengths, bm25.corpus_stats(lengths), q, "doc_id").withColumn("score", F.round("score", 6))
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
+    return r.withColumn("rank", F.row_number().over(w)).where("rank <= 10")
+
+
+@query(f"""WITH t AS (SELECT doc_id, {sql_tokens('text')} AS t FROM documents) SELECT doc_id, len(t) AS n_tokens, len(list_distinct(t)) AS n_terms FROM t WHERE t IS NOT NULL""")
+def document_tokens(spark: SparkSession, sf: str) -> DataFrame:
+    t = table(spark, sf, "documents").select("doc_id", text.tokens(F.col("text")).alias("t")).where("t is not null")
+    return t.select("doc_id", F.size("t").alias("n_tokens"), F.size(F.array_distinct("t")).alias("n_terms"))
+
+
+# --- vectors -----------------------------------------------------------------------------------------------------
+
+
+@query("""WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), q AS (SELECT * FROM e WHERE vec_id % 50 = 0)
+  SELECT q.vec_id AS query_id, e.vec_id, round(list_inner_product(q.v, e.v) / sqrt(list_inner_product(q.v, q.v)) / sqrt(list_inner_product(e.v, e.v)), 6) AS score,
+    row_number() OVER (PARTITION BY q.vec_id ORDER BY score DESC, e.vec_id) AS rank FROM q, e QUALIFY rank <= 10""")
+def exact_neighbours(spark: SparkSession, sf: str) -> DataFrame:
+    """The ten nearest of every fiftieth embedding among all."""
+    e = table(spark, sf, "embeddings")
+    q = [(r[0], list(r[1])) for r in e.where("vec_id % 50 = 0").select("vec_id", "embedding").collect()]
+    return vector.nearest(e, "vec_id", "embedding", q, 10)
+
+
+@query("""SELECT count(*) AS n, count(*) FILTER (WHERE vec IS NULL OR len(vec) <> 384) AS n_bad_length, count(*) FILTER (WHERE len(vec) = 384 AND list_inner_product(vec::DOUBLE[], vec::DOUBLE[]) = 0) AS n_zero,
+  round(avg(sqrt(list_inner_product(vec::DOUBLE[], vec::DOUBLE[]))) FILTER (WHERE len(vec) = 384), 6) AS mean_norm FROM (SELECT DISTINCT * FROM vectors)""")
+def vector_health(spark: SparkSession, sf: str) -> DataFrame:
+    v = table(spark, sf, "vectors").dropDuplicates()
+    n = F.when(F.size("vec") == 384, vector.norm(F.col("vec")))
+    v = v.select("vec", n.alias("n"))
+    return v.agg(F.count("*").alias("n"), F.count_if(F.col("vec").isNull() | (F.size("vec") != 384)).alias("n_bad_length"), F.count_if(F.col("n") == 0).alias("n_zero"), F.round(F.avg("n"), 6).alias("mean_norm"))
+
+
+@query()
+def text_embeddings(spark: SparkSession, sf: str) -> DataFrame:
+    """Hash embeddings of all documents, in sparse form."""
+    d = table(spark, sf, "documents").where("text is not null")
+    return hashing.sparse_embedding(d, "doc_id", "text").select("doc_id", "pos", F.round("value", 6).alias("value"))
+
+
+@query()
+def approximate_recall(spark: SparkSession, sf: str) -> DataFrame:
+    """Recall of hashed buckets against exact search, every fiftieth embedding among all."""
+    e = table(spark, sf, "embeddings")
+    exact = exact_neighbours(spark, sf)
+    b = vector.hashed_candidates(e, "vec_id", "embedding", 64, tables=24, bits=5)
+    q = b.where("vec_id % 50 = 0").withColumnRenamed("vec_id", "query_id")
+    pairs = q.join(b, ["table", "bucket"]).select("query_id", "vec_id").distinct()
+    v = e.select("vec_id", "embedding")
+    scored = pairs.join(v, "vec_id").join(v.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), "query_id")
+    from pyspark.sql import Window
+
+    s = scored.select("query_id", "vec_id", F.round(vector.dot(F.col("embedding"), F.col("q")), 6).alias("score"))
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return vector.recall(s.withColumn("rank", F.row_number().over(w)).where("rank <= 10"), exact, "vec_id")
+
+
+# --- chunking ----------------------------------------------------------------------------------------------------
+
+
+def _paragraph_sql() -> str:
+    return f"""
+    WITH p AS (SELECT doc_id, unnest(string_split(text, chr(10) || chr(10))) AS p, generate_subscripts(string_split(text, chr(10) || chr(10)), 1) AS i FROM documents WHERE text IS NOT NULL),
+      n AS (SELECT *, len({sql_lines('p')}) AS n FROM p),
+      s AS (SELECT *, coalesce(sum(n + 1) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + 1 AS line_start FROM n)
+    SELECT CAST(doc_id AS VARCHAR) AS path, CAST(line_start AS INTEGER) AS line_start, CAST(line_start + n - 1 AS INTEGER) AS line_end, md5(trim(p, ' ')) AS digest FROM s WHERE len(list_filter(regexp_split_to_array(p, '\\s+'), lambda w: w <> '')) >= 3"""
+
+
+@query(_paragraph_sql)
+def paragraph_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    d = table(spark, sf, "documents").where("text is not null").select(F.col("doc_id").cast("string").alias("path"), F.lit("txt").alias("language"), F.col("text").alias("content"))
+    return chunking.paragraphs(d).select("path", "line_start", "line_end", F.md5("content").alias("digest"))
+
+
+def _window_sql() -> str:
+    return f"""
+    WITH f AS (SELECT id, {sql_lines('content')} AS ls FROM {ONE} WHERE content IS NOT NULL), s AS (SELECT id, ls, unnest(range(0, len(ls), 30)) AS s FROM f WHERE len(ls) > 0),
+      w AS (SELECT CAST(id AS VARCHAR) AS path, CAST(s + 1 AS INTEGER) AS line_start, CAST(least(s + 40, len(ls)) AS INTEGER) AS line_end, array_to_string(ls[s + 1 : s + 40], chr(10)) AS t FROM s WHERE s = 0 OR s + 10 < len(ls))
+    SELECT path, line_start, line_end, md5(t) AS digest FROM w WHERE len(list_filter(regexp_split_to_array(t, '\\s+'), lambda x: x <> '')) >= 3"""
+
+
+@query(_window_sql)
+def line_window_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    c = table(spark, sf, "chunks").dropDuplicates(["id"]).where("content is not null").select(F.col("id").cast("string").alias("path"), "language", "content")
+    return chunking.line_windows(c).select("path", "line_start", "line_end", F.md5("content").alias("digest"))
+
+
+def _markdown_sql() -> str:
+    return f"""
+    WITH f AS (SELECT doc_id, {sql_lines('text')} AS ls FROM documents WHERE text IS NOT NULL),
+      l AS (SELECT doc_id, unnest(ls) AS x, generate_subscripts(ls, 1) AS i FROM f WHERE len(ls) > 0),
+      g AS (SELECT *, sum(CASE WHEN starts_with(x, '#') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM l)
+    SELECT CAST(doc_id AS VARCHAR) AS path, CAST(min(i) AS INTEGER) AS line_start, CAST(max(i) AS INTEGER) AS line_end, md5(string_agg(x, chr(10) ORDER BY i)) AS digest FROM g GROUP BY doc_id, g HAVING trim(string_agg(x, chr(10) ORDER BY i), ' ') <> ''"""
+
+
+@query(_markdown_sql)
+def markdown_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    d = table(spark, sf, "documents").where("text is not null").select(F.col("doc_id").cast("string").alias("path"), F.lit("md").alias("language"), F.col("text").alias("content"))
+    return chunking.markdown_sections(d).select("path", "line_start", "line_end", F.md5("content").alias("digest"))
+
+
+@query()
+def chunked_files(spark: SparkSession, sf: str) -> DataFrame:
+    """All chunking rules over the files the change feed has left."""
+    return chunking.with_ids(chunking.chunk_files(files_of(spark, sf)))
+
+
+# --- scans -------------------------------------------------------------------------------------------------------
+
+_LINES = f"SELECT file_path, line_start + i - 1 AS line, x, lang FROM (SELECT file_path, line_start, {sql_language()} AS lang, unnest({sql_lines('content')}) AS x, generate_subscripts({sql_lines('content')}, 1) AS i FROM {ONE} WHERE content IS NOT NULL)"
+
+
+@query(lambda: f"""WITH l AS ({_LINES}), k AS (SELECT *, CASE {' '.join(f"WHEN contains(upper(x), '{t}') THEN '{t}'" for t in scans.TODO_TAGS)} END AS kind FROM l)
+  SELECT file_path, CAST(line AS INTEGER) AS line, kind, trim(x, ' ') AS text, lang AS language FROM k WHERE kind IS NOT NULL""")
+def todos(spark: SparkSession, sf: str) -> DataFrame:
+    return scans.scan_todos(table(spark, sf, "chunks"))
+
+
+def _security_sql() -> str:
+    pats = " UNION ALL ".join(f"SELECT {_q(s)} AS severity, {_q(k)} AS kind, {_q(p)} AS pattern, {str(low).lower()} AS low" for s, k, p, low in scans.SECURITY_PATTERNS)
+    return f"""WITH l AS ({_LINES}), p AS ({pats}), h AS (SELECT severity, kind, file_path, CAST(line AS INTEGER) AS line, min(substr(trim(x, ' '), 1, 150)) AS snippet FROM l, p WHERE contains(CASE WHEN low THEN lower(x) ELSE x END, pattern) GROUP BY ALL)"""
+
+
+@query(lambda: _security_sql() + " SELECT * FROM h")
+def security_issues_all(spark: SparkSession, sf: str) -> DataFrame:
+    return scans.security_hits(table(spark, sf, "chunks"))
+
+
+@query(lambda: _security_sql() + " SELECT * FROM h ORDER BY CASE severity WHEN 'high' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END, file_path, line, kind LIMIT 300")
+def security_report(spark: SparkSession, sf: str) -> DataFrame:
+    return scans.scan_security(table(spark, sf, "chunks"))
+
+
+@query(lambda: _security_sql() + " SELECT severity, kind, count(*) AS n_issues FROM h GROUP BY ALL")
+def security_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return scans.security_summary(table(spark, sf, "chunks"))
+
+
+@query(f"SELECT file_path, count(*) AS chunks, arg_min({sql_language()}, id) AS language FROM {ONE} GROUP BY file_path")
+def file_list(spark: SparkSession, sf: str) -> DataFrame:
+    return scans.file_list(table(spark, sf, "chunks"))
+
+
+@query(f"SELECT language, count(*) AS n_files, CAST(sum(chunks) AS BIGINT) AS n_chunks FROM (SELECT file_path, count(*) AS chunks, arg_min({sql_language()}, id) AS language FROM {ONE} GROUP BY file_path) GROUP BY language")
+def language_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return scans.language_counts(table(spark, sf, "chunks"))
+
+
+@query(f"SELECT count(*) AS n_files, CAST(sum(chunks) AS BIGINT) AS n_chunks, count(DISTINCT language) AS n_languages FROM (SELECT file_path, count(*) AS chunks, arg_min({sql_language()}, id) AS language FROM {ONE} GROUP BY file_path)")
+def index_stats(spark: SparkSession, sf: str) -> DataFrame:
+    return scans.index_stats(table(spark, sf, "chunks"))
+
+
+@query(lambda: f"""SELECT file_path, {' OR '.join(f"ends_with(file_path, {_q(p[1:])})" if p.startswith('*') else f"contains(file_path, {_q(p)})" for p in languages.DEFAULT_IGNORES)} AS ignored FROM (SELECT DISTINCT file_path FROM chunks WHERE file_path IS NOT NULL)""")
+def ignored_files(spark: SparkSession, sf: str) -> DataFrame:
+    f = table(spark, sf, "chunks").select("file_path").where("file_path is not null").distinct()
+    return f.select("file_path", languages.ignored(F.col("file_path")).alias("ignored"))
+
+
+@query()
+def snippets(spark: SparkSession, sf: str) -> DataFrame:
+    """What a result card shows of every chunk that has a term of the query."""
+    terms = text.query_terms(SEARCH_TEXT)
+    c = table(spark, sf, "chunks").dropDuplicates(["id"])
+    c = c.where(F.size(text.matching_terms(F.col("content"), terms)) > 0)
+    return c.select(F.col("id").alias("chunk_id"), text.snippet(F.col("content"), terms).alias("snippet"), text.last_two(F.col("file_path")).alias("place"))
+
+
+# --- graph -------------------------------------------------------------------------------------------------------
+
+
+def _graph(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    return table(spark, sf, "nodes"), table(spark, sf, "edges")
+
+
+@query(f"""SELECT (SELECT count(*) FROM {NODES}) AS total_nodes, (SELECT count(*) FROM {EDGES}) AS total_edges, count(*) FILTER (WHERE kind = 'function') AS functions, count(*) FILTER (WHERE kind = 'method') AS methods,
+  count(*) FILTER (WHERE kind IN ('class', 'struct', 'trait')) AS classes, count(*) FILTER (WHERE kind = 'endpoint') AS endpoints, count(*) FILTER (WHERE kind = 'module') AS modules FROM {NODES}""")
+def graph_stats(spark: SparkSession, sf: str) -> DataFrame:
+    return graph_analytics.graph_stats(*_graph(spark, sf))
+
+
+_DEGREE = f"(SELECT id, count(*) AS degree FROM (SELECT src AS id FROM {CALLS} UNION ALL SELECT dst FROM {CALLS}) GROUP BY id)"
+
+
+@query(f"SELECT n.id, name, kind, file_path, degree FROM {NODES} n JOIN {_DEGREE} d USING (id) WHERE kind <> 'module' ORDER BY degree DESC, id LIMIT 20")
+def god_nodes(spark: SparkSession, sf: str) -> DataFrame:
+    return graph_analytics.god_nodes(*_graph(spark, sf), 20)
+
+
+@query()
+def communities(spark: SparkSession, sf: str) -> DataFrame:
+    return graph_analytics.communities(*_graph(spark, sf))
+
+
+@query()
+def surprise_edges(spark: SparkSession, sf: str) -> DataFrame:
+    n, e = _graph(spark, sf)
+    return graph_analytics.surprise_edges(n, e, graph_analytics.communities(n, e))
+
+
+@query()
+def community_listing(spark: SparkSession, sf: str) -> DataFrame:
+    n, e = _graph(spark, sf)
+    return graph_analytics.community_listing(n, graph_analytics.communities(n, e))
+
+
+HUB_FILE = "/repos/harbor-mono/core/src/ledger_ops.rs"
+_BLAST = f"""WITH RECURSIVE b AS (SELECT dst AS id, src AS nxt FROM {EDGES} WHERE kind IN ('calls', 'imports')),
+  r(id) AS (SELECT id FROM {NODES} WHERE file_path = '{HUB_FILE}' UNION SELECT nxt FROM r JOIN b USING (id))"""
+
+
+@query(f"{_BLAST} SELECT DISTINCT file_path AS path FROM r JOIN {NODES} n USING (id) WHERE file_path <> '{HUB_FILE}'")
+def blast_files(spark: SparkSession, sf: str) -> DataFrame:
+    return graph_analytics.blast_radius(*_graph(spark, sf), HUB_FILE).select("path")
+
+
+@query()
+def blast_radius(spark: SparkSession, sf: str) -> DataFrame:
+    return graph_analytics.blast_radius(*_graph(spark, sf), HUB_FILE)
+
+
+@query()
+def blast_risk(spark: SparkSession, sf: str) -> DataFrame:
+    return graph_analytics.blast_risk(blast_radius(spark, sf))
+
+
+_HUB = f"(SELECT name FROM {NODES} n JOIN {_DEGREE} d USING (id) WHERE kind <> 'module' ORDER BY degree DESC, id LIMIT 1)"
+
+
+def _hub_name(spark: SparkSession, sf: str) -> str:
+    r = graph_analytics.god_nodes(*_graph(spark, sf), 1).collect()
+    return r[0]["name"] if r else ""
+
+
+@query(f"SELECT id, name, kind, file_path, line_start FROM {NODES} WHERE id IN (SELECT src FROM {CALLS} WHERE dst IN (SELECT id FROM {NODES} n WHERE n.name = {_HUB} OR ends_with(n.name, '::' || {_HUB})))")
+def callers(spark: SparkSession, sf: str) -> DataFrame:
+    return graph_analytics.callers(*_graph(spark, sf), _hub_name(spark, sf))
+
+
+@query(f"SELECT id, name, kind, file_path, line_start FROM {NODES} WHERE id IN (SELECT dst FROM {CALLS} WHERE src IN (SELECT id FROM {NODES} n WHERE n.name = {_HUB} OR ends_with(n.name, '::' || {_HUB})))")
+def callees(spark: SparkSession, sf: str) -> DataFrame:
+    return graph_analytics.callees(*_graph(spark, sf), _hub_name(spark, sf))
+
+
+@query(f"SELECT id, name, file_path, line_start, detail FROM {NODES} WHERE kind = 'endpoint'")
+def endpoints(spark: SparkSession, sf: str) -> DataFrame:
+    return graph_analytics.endpoints(table(spark, sf, "nodes"))
+
+
+_RANK = "CASE kind " + " ".join(f"WHEN '{k}' THEN {i}" for i, k in enumerate(graph_analytics.KIND_ORDER)) + f" ELSE {len(graph_analytics.KIND_ORDER)} END"
+
+
+@query(f"SELECT id, name, kind, line_start, line_end, {_RANK} AS rank FROM {NODES} WHERE id IN (SELECT dst FROM {EDGES} WHERE kind = 'contains' AND src = (SELECT min(id) FROM {NODES} WHERE kind = 'module' AND contains(lower(file_path), 'ledger_ops.rs')))")
+def file_structure(spark: SparkSession, sf: str) -> DataFrame:
+    return graph_analytics.file_structure(*_graph(spark, sf), "ledger_ops.rs")
+
+
+@query(f"SELECT n.id, name, file_path, degree FROM {NODES} n JOIN {_DEGREE} d USING (id) WHERE kind IN ('function', 'method') AND degree >= 5")
+def degree_gods(spark: SparkSession, sf: str) -> DataFrame:
+    return graph_analytics.degree_gods(*_graph(spark, sf), 5)
+
+
+@query(lambda: f"""SELECT id, name, file_path FROM {NODES} n WHERE kind = 'function' AND id NOT IN (SELECT dst FROM {CALLS}) AND NOT starts_with(list_last(string_split(name, '::')), '_')
+  AND list_last(string_split(name, '::')) NOT IN ({_list(graph_analytics.ENTRY_NAMES)})""")
+def orphans(spark: SparkSession, sf: str) -> DataFrame:
+    return graph_analytics.orphans(*_graph(spark, sf))
+
+
+@query(f"SELECT id, file_path, line_end - line_start AS n_lines FROM {NODES} WHERE kind = 'module' AND line_end - line_start > 600")
+def long_files(spark: SparkSession, sf: str) -> DataFrame:
+    return graph_analytics.long_files(table(spark, sf, "nodes"))
+
+
+@query(f"""SELECT m AS n_modules, i AS n_imports, CAST(CASE WHEN m > 0 THEN i // m ELSE 0 END AS BIGINT) AS avg_coupling FROM (SELECT count(*) AS m FROM {NODES} WHERE kind = 'module'), (SELECT count(*) AS i FROM {IMPORTS})""")
+def coupling(spark: SparkSession, sf: str) -> DataFrame:
+    return graph_analytics.coupling(*_graph(spark, sf))
+
+
+@query()
+def cyclic_modules(spark: SparkSession, sf: str) -> DataFrame:
+    return graph_analytics.cyclic_modules(*_graph(spark, sf))
+
+
+@query()
+def health_report(spark: SparkSession, sf: str) -> DataFrame:
+    return graph_analytics.health_report(*_graph(spark, sf))
+
+
+@query(f"SELECT n.id, name, file_path, calls FROM {NODES} n JOIN (SELECT src AS id, CAST(count(*) AS BIGINT) AS calls FROM {CALLS} GROUP BY src) USING (id) WHERE calls >= 2")
+def call_hubs(spark: SparkSession, sf: str) -> DataFrame:
+    return graph_analytics.call_hubs(*_graph(spark, sf), 2)
+
+
+@query(f"SELECT file_path, count(*) AS imports FROM {IMPORTS} e JOIN {NODES} n ON n.id = e.src AND n.kind = 'module' GROUP BY file_path HAVING count(*) > 1")
+def high_coupling(spark: SparkSession, sf: str) -> DataFrame:
+    return graph_analytics.high_coupling(*_graph(spark, sf), 1)
+
+
+def _layers_sql() -> str:
+    case = "CASE " + " ".join("WHEN " + " OR ".join(f"contains(lower(file_path), {_q(m)})" for m in marks) + f" THEN {_q(n)}" for n, marks, _ in graph_analytics.LAYERS) + " END"
+    rank = lambda c: f"CASE {c} " + " ".join(f"WHEN {_q(n)} THEN {r}" for n, _, r in graph_analytics.LAYERS) + " END"
+    return f"""WITH l AS (SELECT id, file_path, {case} AS layer FROM {NODES} WHERE kind = 'module')
+      SELECT e.src, e.dst, a.file_path AS from_path, b.file_path AS to_path, a.layer AS from_layer, b.layer AS to_layer FROM {IMPORTS} e JOIN l a ON a.id = e.src JOIN l b ON b.id = e.dst WHERE {rank('a.layer')} < {rank('b.layer')}"""
+
+
+@query(_layers_sql)
+def layer_violations(spark: SparkSession, sf: str) -> DataFrame:
+    return graph_analytics.layer_violations(*_graph(spark, sf))
+
+
+@query(f"SELECT id, name, file_path FROM {NODES} WHERE kind IN ('struct', 'class') AND (contains(lower(name), 'singleton') OR contains(lower(name), 'registry') OR lower(name) IN ('config', 'settings'))")
+def singleton_suspects(spark: SparkSession, sf: str) -> DataFrame:
+    return graph_analytics.singleton_suspects(table(spark, sf, "nodes"))
+
+
+@query(f"""WITH p AS (SELECT DISTINCT issue_id AS point_id, file AS file_path, line FROM security_issues), d AS (SELECT * FROM {NODES} WHERE kind IN ('function', 'method')),
+  j AS (SELECT point_id, d.id, d.name, row_number() OVER (PARTITION BY point_id ORDER BY p.line - line_start, d.id, d.name) AS n FROM p JOIN d USING (file_path) WHERE line BETWEEN line_start AND line_end)
+  SELECT point_id, id, name FROM j WHERE n = 1""")
+def enclosing_definitions(spark: SparkSession, sf: str) -> DataFrame:
+    """The function around every finding of the scanner."""
+    p = table(spark, sf, "security_issues").select(F.col("issue_id").alias("point_id"), F.col("file").alias("file_path"), "line").distinct()
+    return graph_analytics.enclosing_definition(p, table(spark, sf, "nodes"))
+
+
+@query(f"SELECT DISTINCT id FROM (SELECT 1 AS id UNION ALL SELECT src FROM {EDGES} WHERE dst = 1 UNION ALL SELECT dst FROM {EDGES} WHERE src = 1)")
+def neighbourhood(spark: SparkSession, sf: str) -> DataFrame:
+    return graph_analytics.neighbourhood(table(spark, sf, "edges"), 1)
+
+
+@query(f"SELECT id, name, kind, file_path FROM {NODES} WHERE contains(lower(name), 'ledger') OR contains(lower(file_path), 'ledger')")
+def filtered_graph(spark: SparkSession, sf: str) -> DataFrame:
+    return graph_analytics.filter_graph(table(spark, sf, "nodes"), "ledger").select("id", "name", "kind", "file_path")
+
+
+@query()
+def built_nodes(spark: SparkSession, sf: str) -> DataFrame:
+    return graph_build.build_graph(files_of(spark, sf))[0]
+
+
+@query()
+def built_edges(spark: SparkSession, sf: str) -> DataFrame:
+    return graph_build.build_graph(files_of(spark, sf))[1]
+
+
+def _churn_sql() -> str:
+    return """WITH c AS (SELECT 'user' || c_custkey || '@example.test' AS author, 'part/' || l_partkey || '.rs' AS path FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN customer ON c_custkey = o_custkey),
+      b AS (SELECT path, author, count(*) AS n FROM c GROUP BY ALL)
+    SELECT path, CAST(sum(n) AS BIGINT) AS commits, arg_min(author, {'n': -n, 'a': author}) AS owner FROM b GROUP BY path ORDER BY commits DESC, path LIMIT 200"""
+
+
+@query(_churn_sql)
+def churn(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders as commits: the customer is the author, parts are the files."""
+    o = table(spark, sf, "orders").join(table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    who = o.select((F.col("o_orderkey") * 100).alias("pos"), F.concat(F.lit("user"), F.col("c_custkey"), F.lit("@example.test")).alias("line"))
+    li = table(spark, sf, "lineitem").join(o.select("o_orderkey"), F.col("l_orderkey") == F.col("o_orderkey"), "left_semi")
+    what = li.select((F.col("l_orderkey") * 100 + F.col("l_linenumber")).alias("pos"), F.concat(F.lit("part/"), F.col("l_partkey"), F.lit(".rs")).alias("line"))
+    return graph_analytics.churn(who.unionByName(what))
+
+
+# --- changes -----------------------------------------------------------------------------------------------------
+
+_OP = "CASE WHEN regexp_matches(lower(trim(op)), '^(create|add)') THEN 'create' WHEN regexp_matches(lower(trim(op)), '^(modif|change|update|write)') THEN 'modify' WHEN regexp_matches(lower(trim(op)), '^(delet|remov|unlink)') THEN 'delete' END"
+_PATH = r"regexp_replace(regexp_replace(replace(regexp_replace(trim(path), '^\\\\\?\\', ''), '\', '/'), '/\./', '/', 'g'), '/{2,}', '/', 'g')"
+_FEED = f"(SELECT seq, {_PATH} AS path, {_OP} AS op, content, coalesce(ts, received_at) AS tm FROM change_feed WHERE path IS NOT NULL AND {_OP} IS NOT NULL QUALIFY row_number() OVER (PARTITION BY seq ORDER BY seq) = 1)"
+
+
+@query(f"SELECT path, op, seq FROM {_FEED} QUALIFY row_number() OVER (PARTITION BY path ORDER BY tm DESC, seq DESC) = 1")
+def latest_changes(spark: SparkSession, sf: str) -> DataFrame:
+    return upsert.latest(table(spark, sf, "change_feed")).select("path", "op", "seq")
+
+
+@query(f"SELECT time_bucket(INTERVAL '1 hour', ts) AS start, {_OP} AS op, count(*) AS n FROM change_feed WHERE ts IS NOT NULL GROUP BY ALL")
+def change_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return upsert.change_counts(table(spark, sf, "change_feed"))
+
+
+@query()
+def live_files(spark: SparkSession, sf: str) -> DataFrame:
+    return upsert.live_content(table(spark, sf, "change_feed")).select("path", F.md5("content").alias("digest"), "at")
