@@ -166,11 +166,14 @@ def head_notes(text: str) -> tuple[int, int, int]:
 
 
 #: Without one of these a text holds no lock entries; the line patterns are only tried where one is there.
+_ARMORED = re.compile(r"-----BEGIN [^-\n]+-----.*?(?:-----END [^-\n]+-----|\Z)", re.S)
 _LOCK_HINTS = ("integrity", "checksum", "sha", "version", "hash", "resolved", "==", "@", "h1:", "[[package")
 
 
 def features(text: str) -> tuple[int, int, int, int, int, int, int]:
     """(characters, in minified lines, in data, lines, lines of a table, lock lines, source map notes)"""
+    if "-----BEGIN" in text:  # a key is no data of its own
+        text = _ARMORED.sub("", text)
     total, lines = len(text), text.count("\n") + 1
     digits = sum(map(text.count, "0123456789"))
     mini = data = table = lock = 0
