@@ -8,7 +8,7 @@ What does not count
 * wording that is not the item's own: sentences that several different items have in common, and standing text, which a
   large share of all documents holds;
 * a sentence pattern filled with other content: of a window's own words (those few items of its suite use) two thirds
-  must be there, besides the edit distance.
+  must be there, and four, besides the edit distance.
 
 Defined results
 * null, empty or short texts on either side give no row; documents or items with a null id are left out.
@@ -35,8 +35,9 @@ PIECE = 6
 #: A sentence is common from so many different items on, standing text from this share of the documents on (and so many).
 COMMON_ITEMS, STANDING_SHARE, STANDING_DOCS = 3, 0.01, 20
 #: A word of a suite is its pattern's, not an item's own, from this share of the suite's items on.
-PATTERN_SHARE = 0.35
-OWN_SHARE = 2 / 3
+PATTERN_SHARE = 0.42
+#: Of a window's own words this share must be there, and at least so many.
+OWN_SHARE, OWN_WORDS = 2 / 3, 4
 BLOCK_CHARS = 8_000_000
 
 _WORD = re.compile(r"[^\W_]+")
@@ -197,7 +198,7 @@ class EvalIndex:
                         continue
                     mine = [x for x, o in zip(window, own[s : s + size]) if o]
                     held = set(piece)
-                    if sum(x in held for x in mine) < OWN_SHARE * len(mine):
+                    if sum(x in held for x in mine) < max(OWN_SHARE * len(mine), OWN_WORDS):
                         continue
                     if edit_distance(window, piece) <= edits:
                         covered.update(range(s, s + size))
