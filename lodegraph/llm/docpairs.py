@@ -172,7 +172,7 @@ _PLACEHOLDER = regex.compile(
 _DIRECTIVE = regex.compile(
     r"(?i)^(?:nolint|noqa|no-?lint|nosec|noinspection|eslint|tslint|jslint|jshint|stylelint|prettier-ignore|istanbul|c8\s+ignore|v8\s+ignore|webpack\w*:|@ts-\w+|ts-(?:ignore|expect|nocheck)|@flow|@jsx|pylint\s*:|flake8\s*:|mypy\s*:|type\s*:\s*ignore|pragma\b|fmt\s*:|yapf\s*:|isort\s*:|ruff\s*:|pyright\s*:|rustfmt|clippy|clang-(?:format|tidy)|cppcheck|coverity|go:\w+|\+build|lint:|exported\s|line\s+\S+:\d+|region\b|endregion\b|codespell|spell-?checker|cspell|sonar|checkstyle|spotless|@formatter|@suppress|language=|vim?:|-\*-|gocyclo|gosec|revive:|coverage\s*:|lcov|kcov)\S*"
 )
-_XREF = regex.compile(r"(?i)^(?:(?:please\s+)?(?:see|cf\.?|refer\s+to|compare|consult)\b(?:\s+(?:also|above|below|the|its|base|parent|docs?|documentation|of|for|details|more|information|there|header|interface|class|overview|comment))*(?:\{@\w+\s[^}]*\}|[\s{(\[`@]*[\w.:#/()`{}@\]\[-]*)(?:\s+(?:for|in|above|below|and)\b.*)?|same\s+as\b.*|ditto|as\s+(?:above|below)|\{@?\s*inheritdoc\}?|@?inheritdoc|\{@(?:link|see)[^}]*\}|inherited(?:\s+(?:docs?|documentation|from\b.*))?|overrides?\s+\S+|implements?\s+\S+)[.!]*$")
+_XREF = regex.compile(r"(?i)^(?:(?:please\s+)?(?:see|cf\.?|refer\s+to|compare|consult)\b(?:\s+(?:also|above|below|the|its|base|parent|docs?|documentation|of|for|details|more|information|there|header|interface|class|overview|comment))*(?:\s*\{@\w+\s[^}]*\}|[\s{(\[`@]*[\w.:#/()`{}@\]\[-]*)(?:\s+(?:for|in|above|below|and)\b.*)?|same\s+as\b.*|ditto|as\s+(?:above|below)|\{@?\s*inheritdoc\}?|@?inheritdoc|\{@(?:link|see)[^}]*\}|inherited(?:\s+(?:docs?|documentation|from\b.*))?|overrides?\s+\S+|implements?\s+\S+)[.!]*$")
 _CODE = regex.compile(
     r"[;{}]\s*$|^[\w.\[\]>-]+(?:::\w+)*\s*\([^)]*\)\s*;?$|^(?:let|var|const|return|if|for|while|else|import|use|self|def|func|fn|raise|throw|yield|await|break|continue|pass)\b.*[=(){}\[\]:<>].*$|^[\w.\[\]]+(?:,\s*[\w.]+)*\s*(?:[-+*/|&%]?=|:=|<-)\s*\S.*$|^[\w.]+\.\w+\([^)]*\)\.?$|^(?:>>>|\$ )|^}|^{|^\w+!\(.*\)"
 )
