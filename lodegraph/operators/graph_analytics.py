@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import cut_in_loop as cut
 
 # Thresholds and names of the health and pattern reports.
 GOD_DEGREE, GOD_CALLS, LONG_FILE, HIGH_COUPLING = 15, 15, 600, 8

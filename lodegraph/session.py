@@ -45,3 +45,15 @@ def cut(df: DataFrame, eager: bool = True) -> DataFrame:
     """``df`` written to the shared folder, its lineage cut; survives the loss of executors."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=eager)
+
+
+def cut_in_loop(df: DataFrame) -> DataFrame:
+    """As ``cut``, for results that the next round of a loop reads.
+
+    A checkpoint keeps the estimated size of the plan it cuts. A join's estimate is the product of its sides', so in a
+    loop its digits double with every round until planning takes longer than the work. The rows are read back as a plan
+    of their own, without estimates.
+    """
+    c = cut(df)
+    spark = df.sparkSession
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(c._jdf.queryExecution().toRdd(), c._jdf.schema(), False), spark)
