@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import hashing, languages, text
 from ..functions.hashing import embed_text
 from ..operators import bm25, chunking, fusion, graph_analytics, graph_build, scans, vector
+from ..session import cut
 from ..streaming import upsert
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -208,7 +209,7 @@ def batch_keyword_search(spark: SparkSession, sf: str) -> DataFrame:
     from pyspark.sql import Window
 
     d = table(spark, sf, "documents").where("text is not null")
-    t = bm25.tokenized(d, "doc_id", "text")
+    t = cut(bm25.tokenized(d, "doc_id", "text"))  # postings, frequencies and lengths all read it
     post = bm25.postings(t, "doc_id")
     lengths = bm25.doc_lengths(t, "doc_id")
     q = spark.createDataFrame([(i, x) for i, s in SEARCH_TEXTS.items() for x in text.query_terms(s)], "query_id int, term string")
