@@ -29,6 +29,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 #: Windows (words, edits allowed). Pieces of PIECE words: 20 // 3, 30 // 4, 40 // 6 are all at least that long.
 WINDOWS = ((20, 2), (30, 3), (40, 5))
 PIECE = 6
@@ -274,6 +276,7 @@ def leaked_items(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id",
     m = found[0]
     for f in found[1:]:
         m = m.unionByName(f)
+    m = cut(m)  # the matches are read for the standing text and for the result; the corpus is searched once
     total = d.agg(F.count_distinct("doc_id").alias("n_docs"))
     by_sentence = m.select("doc_id", "item_id", F.explode(F.arrays_zip("sentences", "n")).alias("z")).select("doc_id", "item_id", F.col("z.sentences").alias("sentence"), F.col("z.n").alias("n"))
     by_sentence = by_sentence.groupBy("doc_id", "item_id", "sentence").agg(F.max("n").alias("n"))
