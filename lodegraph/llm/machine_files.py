@@ -118,10 +118,10 @@ def _winnow(block: list[np.ndarray], gram: int, window: int) -> list[np.ndarray]
 
 # --- what a text says of itself ----------------------------------------------------------------------------------
 
-_COMMENT_LINE = re.compile(r"^\s*(?://+!?|/\*+!?|\*+/?|#+!?|--+|;+|<!--|%+|\"\"\"|''')\s?(?P<t>.*?)\s*(?:\*/|-->)?\s*$")
+_COMMENT_LINE = re.compile(r"^\s*(?://+!?|/\*+!?|\*+/?|#+!?|--+|;+|<!--|%+|>+|\"\"\"|''')\s?(?P<t>.*?)\s*(?:\*/|-->)?\s*$")
 GENERATED_NOTE = re.compile(
     r"(?i)@generated\b|<auto-?generated|\b(?:code|file|source|this (?:file|code|module|page)(?: (?:is|was|has been))?)\s+(?:is\s+|was\s+)?(?:auto(?:matically)?[- ]?)?(?:generated|created|produced|written) (?:automatically |by |from |with |out of |using |on )"
-    r"|\bauto-?generated(?:\b(?! stub).*(?:do not|don't|by|from|file)|[,.:;]|$)|\bautomatically (?:generated|created|written|produced)\b|\bmachine[- ](?:written|generated|made)\b[;:,.]|\bgenerated(?: file)?[:;,] *(?:do not|don't)\b|\bgenerated by\b.*"
+    r"|\bauto-?generated(?:\b(?! stub).*(?:do not|don't|by|from|file)|[,.:;]|$)|\bautomatically (?:generated|created|written|produced|assembled|built|compiled|derived|extracted)\b|\bchange the (?:sources?|input|generator),? not this\b|\bmachine[- ](?:written|generated|made)\b[;:,.]|\bgenerated(?: file)?[:;,] *(?:do not|don't)\b|\bgenerated by\b.*"
     r"|\boutput of `[^`]+`|\bedit the input instead\b|\bmanual changes will be lost\b|\bedits are overwritten\b|\bregenerate with\b|automatisch (?:erzeugt|generiert|erstellt)|nicht (?:manuell )?bearbeiten\b|generado autom[aá]ticamente|(?:g[eé]n[eé]r[eé]|cr[eé][eé]) automatiquement|no editar\b"
 )
 THIRD_PARTY_NOTE = re.compile(
@@ -133,7 +133,7 @@ NOT_SO = re.compile(r"(?i)\b(?:not|no longer|never) (?:vendored|generated|minifi
 
 _SKELETON = re.compile(r"0x[0-9a-f]+|\d+", re.I)
 _DATA = re.compile(r"""[-+]?(?:0x[0-9a-fA-F]+|\d[\d_]*\.?\d*(?:[eE][-+]?\d+)?)[uUlLfF]?\d*|\\x[0-9a-fA-F]{2}|[A-Za-z0-9+/=]{48,}|\b[0-9a-fA-F]{16,}\b""")
-_LOCK_LINE = re.compile(r"""(?i)\b(?:integrity|checksum|sha(?:1|256|384|512)|hash|resolved)["']?\s*[:=]\s*["'{]?|^\s*\[\[package\]\]|^\s*["']?version["']?\s*[:=]\s*["']?\d+\.\d+|@\d+\.\d+\.\d+[:{"]|sha(?:256|384|512)-[A-Za-z0-9+/]{20,}|^\s*name\s*=\s*"|==\d+\.\d+(?:\.\d+)?\s*(?:\\|--hash)|\bh1:[A-Za-z0-9+/]{30,}=""")
+_LOCK_LINE = re.compile(r"""(?i)\b(?:integrity|checksum|sha(?:1|256|384|512)|hash|resolved)["']?\s*[:=]\s*["'{]?|^\s*\[\[package\]\]|^\s*["']?version["']?\s*[:=]\s*["']?\d+\.\d+|@\d+\.\d+\.\d+[:{"]|sha(?:256|384|512)-[A-Za-z0-9+/]{20,}|^\s*name\s*=\s*"|==\d+\.\d+(?:\.\d+)?\s*(?:\\|--hash)|\bh1:[A-Za-z0-9+/]{30,}=|^[-*+] `[^`]+`.*\b(?:line |:)\d+$""")
 CODE = frozenset("rs py pyi js jsx mjs cjs ts tsx go java c h cc cpp cxx hpp hh kt rb php cs swift scala css sh bash sql".split())
 
 
@@ -167,7 +167,7 @@ def head_notes(text: str) -> tuple[int, int, int]:
 
 _ARMORED = re.compile(r"-----BEGIN [^-\n]+-----.*?(?:-----END [^-\n]+-----|\Z)", re.S)
 #: Without one of these a text holds no lock entries; the line patterns are only tried where one is there.
-_LOCK_HINTS = ("integrity", "checksum", "sha", "version", "hash", "resolved", "==", "@", "h1:", "[[package")
+_LOCK_HINTS = ("integrity", "checksum", "sha", "version", "hash", "resolved", "==", "@", "h1:", "[[package", "line ", ".rs:", ".py:")
 
 
 def features(text: str) -> tuple[int, int, int, int, int, int, int]:

@@ -29,7 +29,7 @@ def test_fingerprints_do_not_depend_on_neighbours_or_comments():
     assert alone[1] == alone[2] == []
 
 
-@pytest.mark.parametrize("head", ["// Code generated by x from y. DO NOT EDIT.", "# @generated by x", "// <auto-generated>", "// Diese Datei wurde automatisch erzeugt (x). Nicht bearbeiten.", "// machine-written; regenerate with make x", "<!-- generated: do not edit -->", "// Output of `x --in y`. Edit the input instead of this output."])
+@pytest.mark.parametrize("head", ["// Code generated by x from y. DO NOT EDIT.", "# @generated by x", "// <auto-generated>", "// Diese Datei wurde automatisch erzeugt (x). Nicht bearbeiten.", "// machine-written; regenerate with make x", "<!-- generated: do not edit -->", "> Automatically assembled API listing. Change the sources, not this page.", "// Output of `x --in y`. Edit the input instead of this output."])
 def test_generated_notes(head):
     assert m.head_notes(head + "\nfn a() {}")[0] == 1
 
