@@ -164,13 +164,20 @@ def search_similar(spark: SparkSession, sf: str) -> DataFrame:
     return fusion.search_similar(table(spark, sf, "chunks"), table(spark, sf, "vectors"), "fn refresh_cache(ledger: u64) -> usize { ledger.push(digest); }").select(*HIT)
 
 
-@query()
+def _merged_sql() -> str:
+    t = text.query_terms(SEARCH_TEXT)
+    docs = f"(SELECT doc_id AS chunk_id, {sql_tokens('text')} AS t FROM documents WHERE text IS NOT NULL)"
+    return f"""SELECT * FROM (SELECT 'chunks' AS source, chunk_id, score FROM (WITH {_bm25_sql(t, 12)} SELECT chunk_id, score FROM kw)
+      UNION ALL SELECT 'documents', chunk_id, score FROM (WITH {_bm25_sql(t, 12, src=docs)} SELECT chunk_id, score FROM kw)) ORDER BY score DESC, chunk_id LIMIT 12"""
+
+
+@query(_merged_sql)
 def merged_indexes(spark: SparkSession, sf: str) -> DataFrame:
-    """One ranking over the repositories as indexes of their own."""
-    c, v = table(spark, sf, "chunks"), table(spark, sf, "vectors")
-    roots = [r[0] for r in c.select("root_dir").where("root_dir is not null").distinct().orderBy("root_dir").limit(3).collect()]
-    parts = [fusion.search(c.where(F.col("root_dir") == r), v, SEARCH_TEXT).select(*HIT) for r in roots]
-    return fusion.merge_indexes(parts, 12) if parts else fusion.search(c, v, SEARCH_TEXT).select(*HIT)
+    """One ranking over two indexes, the chunks' and the documents'."""
+    c = table(spark, sf, "chunks").dropDuplicates(["id"]).select(F.col("id").alias("chunk_id"), F.col("content").alias("text"))
+    d = table(spark, sf, "documents").where("text is not null").select(F.col("doc_id").alias("chunk_id"), "text")
+    parts = [bm25.top(bm25.score_scan(x, "chunk_id", "text", SEARCH_TEXT), "chunk_id", 12).select(F.lit(n).alias("source"), "chunk_id", "score") for n, x in (("chunks", c), ("documents", d))]
+    return fusion.merge_indexes(parts, 12)
 
 
 @query(f"""WITH t AS (SELECT id, unnest({sql_tokens('content')}) AS term FROM {ONE}) SELECT term, id AS chunk_id, CAST(count(*) AS INTEGER) AS tf FROM t GROUP BY ALL""")
