@@ -5,8 +5,9 @@ holds exactly. Every window here is long enough for pieces of ``PIECE`` words, s
 of the items finds every such place; a bit-parallel (Myers) edit distance then verifies the windows around it.
 
 What does not count
-* wording that is not the item's own: sentences that several different items have in common, and standing text, which a
-  large share of all documents holds;
+* wording that is not the item's own: sentences that several different items have in common, and standing text: what a
+  large share of all documents holds, each in other company and without the rest of the item. Copies and near copies of a
+  document are one place, and a sentence that mostly comes with half of its item is the item's, however many hold it;
 * a sentence pattern filled with other content: of a window's own words (those few items of its suite use) two thirds
   must be there, and four, besides the edit distance.
 
@@ -34,8 +35,11 @@ from ..session import cut
 #: Windows (words, edits allowed). Pieces of PIECE words: 20 // 3, 30 // 4, 40 // 6 are all at least that long.
 WINDOWS = ((20, 2), (30, 3), (40, 5))
 PIECE = 6
-#: A sentence is common from so many different items on, standing text from this share of the documents on (and so many).
-COMMON_ITEMS, STANDING_SHARE, STANDING_DOCS = 3, 0.01, 20
+#: A sentence is common from so many different items on, standing text from this share of the documents on (and so many),
+#: if in this share of its places it stands apart from the rest of its item.
+COMMON_ITEMS, STANDING_SHARE, STANDING_DOCS, STANDING_APART = 3, 0.01, 20, 0.9
+#: Documents with one of these bands of minimum hashes in common are copies: their words besides the item's are the same.
+BANDS, BAND_ROWS, SHINGLE = 8, 4, 3
 #: A word of a suite is its pattern's, not an item's own, from this share of the suite's items on.
 PATTERN_SHARE = 0.42
 #: Of a window's own words this share must be there, and at least so many.
@@ -172,6 +176,17 @@ class EvalIndex:
                     out.append((int(d), t, got))
         return out
 
+    def context(self, t: int, by_sentence: dict[int, int], text: str) -> list[int]:
+        """Bands of minimum hashes of what a document says besides the sentences it holds of an item."""
+        mine = {self.texts[t][k] for k, s in enumerate(self.sentence[t]) if s in by_sentence}
+        get = self.vocabulary.get
+        rest = [w for w in words(text) if get(w, 0) not in mine]
+        return _bands(rest)
+
+    def with_item(self, t: int, by_sentence: dict[int, int]) -> bool:
+        """Whether half of the item's words, common sentences left out, are there."""
+        return 2 * sum(by_sentence.values()) >= sum(x > 0 for x in self.texts[t])
+
     def _verify(self, t: int, doc: list[int], runs: list[tuple[int, int, int]]) -> dict[int, int]:
         seq, own = self.texts[t], self.own[t]
         covered: set[int] = set()
@@ -220,6 +235,29 @@ def _piece_keys(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return k, ok
 
 
+_SEEDS = np.random.default_rng(6).integers(1, 2**63, BANDS * BAND_ROWS, np.uint64) | np.uint64(1)
+
+
+def _bands(ws: list[str]) -> list[int]:
+    if not ws:
+        return [0] * BANDS
+    h = pd.util.hash_array(np.array(ws, object))
+    n = max(1, len(h) - SHINGLE + 1)
+    k = np.zeros(n, np.uint64)
+    with np.errstate(over="ignore"):
+        for j in range(min(SHINGLE, len(h))):
+            k = (k ^ (k >> np.uint64(31))) * _MUL + h[j : j + n]
+        low = []
+        for seed in _SEEDS:  # one at a time: a long text is not held once for each seed
+            x = (k ^ (k >> np.uint64(29))) * seed
+            low.append((x ^ (x >> np.uint64(32))).min())
+        m = np.array(low).reshape(BANDS, BAND_ROWS)
+        out = np.zeros(BANDS, np.uint64)
+        for j in range(BAND_ROWS):
+            out = (out ^ (out >> np.uint64(31))) * _MUL + m[:, j]
+    return out.view(np.int64).tolist()
+
+
 def prepare(items: list[tuple[int, str, str]]) -> tuple[set[tuple[str, ...]], dict[str, set[str]]]:
     """Sentences that COMMON_ITEMS different items share, and the pattern words of each suite."""
     seen: dict[tuple[str, ...], set] = defaultdict(set)
@@ -257,12 +295,13 @@ def leaked_items(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id",
                 out = []
                 for at, t, by_sentence in x.leaks(list(b["text"])):
                     hashes = [x.sentence_hash[s] for s in by_sentence]
+                    context, whole = x.context(t, by_sentence, b["text"].iloc[at]), x.with_item(t, by_sentence)
                     for i in x.ids[t]:
-                        out.append((b["doc_id"].iloc[at], i, hashes, list(by_sentence.values())))
+                        out.append((b["doc_id"].iloc[at], i, hashes, list(by_sentence.values()), context, whole))
                 if out:
-                    yield pd.DataFrame(out, columns=["doc_id", "item_id", "sentences", "n"])
+                    yield pd.DataFrame(out, columns=["doc_id", "item_id", "sentences", "n", "context", "whole"])
 
-        return d.mapInPandas(match, "doc_id long, item_id long, sentences array<long>, n array<int>")
+        return d.mapInPandas(match, "doc_id long, item_id long, sentences array<long>, n array<int>, context array<long>, whole boolean")
 
     # one item at a time comes to the driver, and no more than a block of them is held
     for r in rows.orderBy("item_id", "text").toLocalIterator():
@@ -280,9 +319,25 @@ def leaked_items(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id",
     total = d.agg(F.count_distinct("doc_id").alias("n_docs"))
     by_sentence = m.select("doc_id", "item_id", F.explode(F.arrays_zip("sentences", "n")).alias("z")).select("doc_id", "item_id", F.col("z.sentences").alias("sentence"), F.col("z.n").alias("n"))
     by_sentence = by_sentence.groupBy("doc_id", "item_id", "sentence").agg(F.max("n").alias("n"))
-    standing = (
-        by_sentence.groupBy("sentence").agg(F.count_distinct("doc_id").alias("df")).join(F.broadcast(total))
-        .where((F.col("df") >= STANDING_DOCS) & (F.col("df") >= STANDING_SHARE * F.col("n_docs"))).select("sentence")
-    )
+    standing = standing_text(m, total)
     own = by_sentence.join(standing, "sentence", "left_anti")
     return own.groupBy("doc_id", "item_id").agg(F.sum("n").cast("int").alias("n_words")).where(F.col("n_words") >= WINDOWS[0][0])
+
+
+def standing_text(matches: DataFrame, total: DataFrame) -> DataFrame:
+    """(sentence): those that a large share of the documents hold, in different places and apart from their item.
+
+    Only sentences that enough documents hold, copies included, are looked at. A place is a document that shares no band
+    of its context with an earlier one, so a group of copies is one place or a few.
+    """
+    enough = lambda n: (F.col(n) >= STANDING_DOCS) & (F.col(n) >= STANDING_SHARE * F.col("n_docs"))
+    held = matches.select("doc_id", "context", "whole", F.explode("sentences").alias("sentence"))
+    often = held.groupBy("sentence").agg(F.count_distinct("doc_id").alias("df")).join(F.broadcast(total)).where(enough("df")).select("sentence")
+    held = held.join(often, "sentence", "left_semi")
+    bands = held.select("sentence", "doc_id", "whole", F.posexplode("context").alias("i", "band"))
+    first = bands.groupBy("sentence", "i", "band").agg(F.min("doc_id").alias("first"))
+    places = (
+        bands.join(first, ["sentence", "i", "band"]).groupBy("sentence", "doc_id").agg(F.min("first").alias("first"), F.max("whole").alias("whole"))
+        .where("first = doc_id").groupBy("sentence").agg(F.count("*").alias("n"), F.count_if(~F.col("whole")).alias("apart"))
+    )
+    return places.join(F.broadcast(total)).where(enough("apart") & (F.col("apart") >= STANDING_APART * F.col("n"))).select("sentence")

@@ -75,3 +75,15 @@ def test_tables(spark, items):
     assert got == [(1, 0), (1, 100), (6, 0), (6, 100)]
     assert sorted((r["doc_id"], r["item_id"]) for r in k.leaked_items(d, i, block_chars=2000).collect()) == got  # items in blocks
     assert k.leaked_items(d, i.limit(0)).count() == 0 and k.leaked_items(d.limit(0), i).count() == 0
+
+
+def test_leaks_that_many_documents_hold_are_no_standing_text(spark, items):
+    i = spark.createDataFrame(items[:10], "item_id long, suite string, text string")
+    whole, half = items[0][2], " ".join(k.words(items[1][2])[:30])
+    body = words(80)
+    copies = [(n, " ".join(words(80)) + ". " + whole) for n in range(60)]  # one leak in many unrelated documents
+    copies += [(100 + n, " ".join(body) + ". " + half + ".") for n in range(60)]  # a sentence of an item in copies of one document
+    copies += [(200 + n, " ".join(edit(body, 6)) + ". " + half + ".") for n in range(60)]  # and in near copies
+    d = spark.createDataFrame([*copies, (300, " ".join(words(60)) + ". " + half), *((400 + n, " ".join(words(60))) for n in range(60))], "doc_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in k.leaked_items(d, i).collect()}
+    assert got == {(n, 0) for n in range(60)} | {(n, 1) for n in [*range(100, 160), *range(200, 260), 300]}
