@@ -423,26 +423,33 @@ _PREFILTER = "(?i)" + "|".join(
 def _spans_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     a = automaton()
     for b in batches:
-        rows: dict[str, list] = {k: [] for k in ("record_id", "first_line", "line_no", "start", "end", "kind", "key")}
+        rows: dict[str, list] = {k: [] for k in ("record_id", "first_line", "line_no", "start", "end", "kind", "key", "indent", "column")}
         for rid, first, key, text in zip(b["record_id"], b["first_line"], b["key"], b["text"]):
-            line, at = 0, 0
+            line, at, begin, code = 0, 0, 0, None
             for s, e, kind in a.spans(text):
-                line += text.count("\n", at, s)
+                n = text.count("\n", at, s)
+                if n or code is None:
+                    begin = text.rfind("\n", at, s) + 1 if n else 0
+                    code = begin
+                    while code < s and text[code].isspace():
+                        code += 1
+                line += n
                 at = s
-                for k, v in zip(rows, (rid, first, line, s, e, kind, key)):
+                for k, v in zip(rows, (rid, first, line, s, e, kind, key, code - begin, s - code)):
                     rows[k].append(v)
         if rows["record_id"]:
             yield pd.DataFrame(rows)
 
 
-SPANS_SCHEMA = "record_id long, first_line int, line_no int, start int, end int, kind string, key string"
+SPANS_SCHEMA = "record_id long, first_line int, line_no int, start int, end int, kind string, key string, indent int, column int"
 
 
 def credential_spans(df: DataFrame, record_id: str, text: str, first_line: str | None = None, key: str | None = None) -> DataFrame:
-    """The credential values in ``text``: (record_id, first_line, line_no, start, end, kind, key).
+    """The credential values in ``text``: (record_id, first_line, line_no, start, end, kind, key, indent, column).
 
-    ``line_no`` counts from 0 within the text, ``start`` and ``end`` are character offsets. ``key`` is passed through
-    (a file path, say). Texts in which no anchor occurs never reach Python.
+    ``line_no`` counts from 0 within the text, ``start`` and ``end`` are character offsets, ``column`` is the value's
+    offset from the first character of its line that is not blank, ``indent`` the number of blanks before that. ``key``
+    is passed through (a file path, say). Texts in which no anchor occurs never reach Python.
     """
     d = df.select(
         F.col(record_id).cast("long").alias("record_id"),
@@ -537,11 +544,22 @@ def redact(df: DataFrame, record_id: str, text: str) -> DataFrame:
 def absolute_spans(chunks: DataFrame) -> DataFrame:
     """Credential values by file: overlapping chunks find the same value, which counts once by its place in the file.
 
-    A value's place is its file line and the column in that line, so chunks that start within a line's indentation agree.
+    A value's place is its file line and the column in that line. A chunk is trimmed, so its first line lacks the
+    indentation: places are compared by ``column``, from the line's first character that is not blank. ``start`` and
+    ``end`` count from the beginning of the file line, with the ``indent`` that a chunk shows which holds the line further
+    down; where none does, ``indent`` is null and they count as ``column`` does. ``end`` may lie beyond the line's end (a
+    key block): it is ``start`` and the value's ``length``. Of a value that a chunk's end cuts off, the longest part counts.
+
+    Without a file path or ``line_start`` a place in the file is unknown: the values of such a chunk keep its
+    ``chunk_id``, and ``chunk_line`` counts from 0 within it; both are null for all others.
     """
     s = credential_spans(chunks, "id", "content", "line_start", "file_path")
-    return (
-        s.select(F.col("key").alias("file_path"), (F.col("first_line") + F.col("line_no")).alias("line_no"), (F.col("end") - F.col("start")).alias("length"), "kind")
-        .groupBy("file_path", "line_no", "kind")
-        .agg(F.max("length").alias("length"))
-    )
+    known = F.col("key").isNotNull() & F.col("first_line").isNotNull()
+    places = s.select(
+        F.col("key").alias("file_path"), (F.col("first_line") + F.col("line_no")).alias("line_no"),
+        F.when(~known, F.col("record_id")).alias("chunk_id"), F.when(~known, F.col("line_no")).alias("chunk_line"), "column",
+        F.struct((F.col("end") - F.col("start")).alias("length"), "kind").alias("value"), F.when(F.col("line_no") > 0, F.col("indent")).alias("indent"),
+    )
+    v = places.groupBy("file_path", "line_no", "chunk_id", "chunk_line", "column").agg(F.max("value").alias("value"), F.max("indent").alias("indent"))
+    start = F.col("column") + F.coalesce("indent", F.lit(0))
+    return v.select("file_path", "line_no", "chunk_id", "chunk_line", "column", "indent", start.alias("start"), (start + F.col("value.length")).alias("end"), "value.length", "value.kind")

@@ -75,3 +75,13 @@ def test_tables(spark):
 @pytest.mark.parametrize("s, found", [("passwd = ('glacier-th'", 1), ('password = "orbit-vel" +', 1), ("password = ('changeme'", 0), ("x = ('glacier-th'", 0), ("secret = ('${SECRET}'", 0)])
 def test_snippets_that_go_on(s, found):
     assert len(c.automaton().spans(c.complete_snippet(s))) == found
+
+
+def test_every_value_of_a_line_has_its_place(spark):
+    one, two, three = "ghp_" + rnd(36), "ghp_" + rnd(36), "ghp_" + rnd(36)
+    line = f'a = "{one}"; b = "{two}"'
+    method, whole = f"{line}\n    return a", f"class A:\n    {line}\n        return a"
+    rows = [(1, "f", 10, whole), (2, "f", 11, method), (2, "f", 11, method), (3, "g", None, f'{line}\nc = "{three}"'), (4, "g", None, f'c = "{three}"'), (5, None, 3, f'c = "{three}"'), (6, "h", 1, "{" + f'"a": "{one}", "b": "{two}"' + "}")]
+    got = c.absolute_spans(spark.createDataFrame(rows, "id long, file_path string, line_start int, content string")).collect()
+    at = lambda r: (r["file_path"] or "", r["line_no"] or 0, r["chunk_id"] or 0, r["chunk_line"] or 0, r["start"], r["end"], r["indent"])
+    assert sorted(map(at, got)) == [("", 3, 5, 0, 5, 45, None), ("f", 11, 0, 0, 9, 49, 4), ("f", 11, 0, 0, 57, 97, 4), ("g", 0, 3, 0, 5, 45, None), ("g", 0, 3, 0, 53, 93, None), ("g", 0, 3, 1, 5, 45, 0), ("g", 0, 4, 0, 5, 45, None), ("h", 1, 0, 0, 7, 47, None), ("h", 1, 0, 0, 56, 96, None)]
