@@ -519,6 +519,32 @@ def _redact_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"record_id": b["record_id"], "n_values": n, "redacted": out})
 
 
+_KEY_PARTS = re.compile(r"""(?P<keep>(?:\\)+[nr]|[\n\r])|(?P<quote>["'`]+)|(?P<run>[A-Za-z0-9+/=]+)""")
+
+
+def _splice_key(body: str, comment: bool) -> str:
+    """The body of a key block with every run of base64 replaced, however short.
+
+    Signs alone are operators where they stand between literals; the armor stands within one if the body has quotes.
+    ``comment``: each line begins with ``//``, which stays.
+    """
+    if comment:
+        head, *lines = body.split("\n")
+        mark = [re.match(r"[ \t]*(?://)?", x)[0] for x in lines]
+        return "\n".join([_splice_key(head, False), *(k + _splice_key(x[len(k) :], False) for k, x in zip(mark, lines))])
+    outside = False
+
+    def part(m: re.Match) -> str:
+        nonlocal outside
+        if m["quote"]:
+            outside ^= len(m["quote"]) % 2 == 1
+        elif m["run"] and not (outside and not any(x.isalnum() for x in m["run"])):
+            return PLACEHOLDER
+        return m[0]
+
+    return _KEY_PARTS.sub(part, body)
+
+
 def splice(text: str, spans: list[tuple[int, int, str]]) -> str:
     """``text`` with each value replaced; quotes, armor and line breaks stay, so the code still parses."""
     parts, at = [], 0
@@ -526,8 +552,7 @@ def splice(text: str, spans: list[tuple[int, int, str]]) -> str:
         parts.append(text[at:s])
         if kind == "private_key":
             m = _ARMOR.match(text, s)
-            body = text[m.end() : e]
-            parts.append(m[0] + re.sub(r"(\\n|\\r|\n|\r)|[A-Za-z0-9+/=]{8,}", lambda x: x[1] or PLACEHOLDER, body))
+            parts.append(m[0] + _splice_key(text[m.end() : e], text[text.rfind("\n", 0, s) + 1 : s].strip() == "//"))
         else:
             parts.append(PLACEHOLDER)
         at = e

@@ -85,3 +85,14 @@ def test_every_value_of_a_line_has_its_place(spark):
     got = c.absolute_spans(spark.createDataFrame(rows, "id long, file_path string, line_start int, content string")).collect()
     at = lambda r: (r["file_path"] or "", r["line_no"] or 0, r["chunk_id"] or 0, r["chunk_line"] or 0, r["start"], r["end"], r["indent"])
     assert sorted(map(at, got)) == [("", 3, 5, 0, 5, 45, None), ("f", 11, 0, 0, 9, 49, 4), ("f", 11, 0, 0, 57, 97, 4), ("g", 0, 3, 0, 5, 45, None), ("g", 0, 3, 0, 53, 93, None), ("g", 0, 3, 1, 5, 45, 0), ("g", 0, 4, 0, 5, 45, None), ("h", 1, 0, 0, 7, 47, None), ("h", 1, 0, 0, 56, 96, None)]
+
+
+#: A key block in a triple-quoted literal, in adjoined literals, and in comments; the last parts are short.
+KEYS = ['k = """-----BEGIN PRIVATE KEY-----\n{}\n{}\n{}\n-----END PRIVATE KEY-----"""\n', 'k = "-----BEGIN PRIVATE KEY-----\\n" +\n  "{}\\n" + "{}" +\n  "{}\\n-----END PRIVATE KEY-----";\n', "// -----BEGIN PRIVATE KEY-----\n// {}\n// {}\n//{}\n// -----END PRIVATE KEY-----\nx\n"]
+
+
+@pytest.mark.parametrize("form", KEYS)
+@pytest.mark.parametrize("last", ["Qx7z", "Qx7=", "/+z9w==", "+/"])
+def test_short_parts_of_a_key_are_replaced(form, last):
+    text = form.format(rnd(64), rnd(5), last)
+    assert c.splice(text, c.automaton().spans(text)) == form.format(*[c.PLACEHOLDER] * 3)
