@@ -137,11 +137,20 @@ _LOCK_LINE = re.compile(r"""(?i)\b(?:integrity|checksum|sha(?:1|256|384|512)|has
 CODE = frozenset("rs py pyi js jsx mjs cjs ts tsx go java c h cc cpp cxx hpp hh kt rb php cs swift scala css sh bash sql".split())
 
 
+def _lines(text: str) -> Iterator[str]:
+    """The lines of a text, one at a time."""
+    at = 0
+    while (e := text.find("\n", at)) >= 0:
+        yield text[at:e]
+        at = e + 1
+    yield text[at:]
+
+
 def head_notes(text: str) -> tuple[int, int, int]:
     """(generated, third party, lock) as the comment lines that open the text say."""
     g = v = k = 0
     quote = False
-    for n, line in enumerate(text.split("\n", 60)[:60]):
+    for n, line in enumerate(_lines(text)):
         s = line.strip()
         if not s:
             continue
@@ -203,8 +212,8 @@ def features(text: str) -> tuple[int, int, int, int, int, int, int]:
         if locks and _LOCK_LINE.search(s):
             lock += 1
         if numeric and n > 3:
-            k = _SKELETON.sub("0", s) if n < 400 else None
-            if k is not None and k == before and k != s:
+            k = _SKELETON.sub("0", s)
+            if k == before and k != s:
                 table += 1 if alike else 2
                 alike = True
             else:

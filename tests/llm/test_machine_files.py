@@ -61,3 +61,11 @@ def test_tables(spark):
     assert reason["/r/a/empty.rs"] is None and reason["/r/a/vendor_list.rs"] is None and len(got) == len(hand) + len(copies) + 8
     assert got["/r/a/x.min.js"][1] and got["/r/a/vendor_list.rs"][1] and not got["/r/a/d.go"][1]
     assert m.classify_files(d.limit(0)).count() == 0
+
+
+def test_notes_below_a_long_licence_and_tables_with_long_rows():
+    licence = "".join(f"// Clause {i} of the terms.\n" for i in range(300))
+    assert m.head_notes(licence + "// Code generated by gridc. DO NOT EDIT.\nfn a() {}\n") == (1, 0, 0)
+    assert m.head_notes(licence + "fn a() {}\n// Code generated by gridc. DO NOT EDIT.\n") == (0, 0, 0)
+    rows = ["row(" + ", ".join(str(i * j % 977) for j in range(200)) + ");" for i in range(1, 41)]
+    assert m.features("\n".join(rows))[4] == 40
