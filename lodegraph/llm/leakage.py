@@ -21,6 +21,7 @@ Defined results
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
@@ -279,15 +280,43 @@ def prepare(items: list[tuple[int, str, str]]) -> tuple[set[tuple[str, ...]], di
     return common, pattern
 
 
+def shared_wording(items: DataFrame) -> tuple[set[tuple[str, ...]], dict[str, set[str]]]:
+    """As ``prepare``, over a table of items whatever its size; only what counts as shared comes to the driver."""
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for suite, text in zip(b["suite"], b["text"]):
+                ws = words(text)
+                if not ws:
+                    continue
+                key, suite = hashlib.md5(" ".join(ws).encode("utf-8", "surrogatepass")).digest(), suite or ""
+                out.append((key, suite, 0, ""))
+                out += [(key, suite, 1, w) for w in set(ws)]
+                out += [(key, suite, 2, w) for w in {" ".join(words(s)) for s in _SENTENCE.split(text)} - {""}]
+            if out:
+                yield pd.DataFrame(out, columns=["key", "suite", "what", "wording"])
+
+    parts = items.select("suite", "text").mapInPandas(read, "key binary, suite string, what int, wording string").distinct()
+    n = cut(parts.groupBy("what", F.when(F.col("what") < 2, F.col("suite")).alias("suite"), "wording").agg(F.count_distinct("key").alias("n")).where((F.col("what") == 0) | (F.col("n") >= COMMON_ITEMS)))
+    size = {r["suite"]: r["n"] for r in n.where("what = 0").collect()}
+    pattern: dict[str, set[str]] = {s: set() for s in size}
+    sizes = n.where("what = 0").select("suite", F.col("n").alias("size"))
+    for r in n.where("what = 1").join(sizes, "suite").where(F.col("n") >= PATTERN_SHARE * F.col("size")).select("suite", "wording").toLocalIterator():
+        pattern[r["suite"]].add(r["wording"])
+    return {tuple(r["wording"].split(" ")) for r in n.where("what = 2").select("wording").toLocalIterator()}, pattern
+
+
 def leaked_items(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
     """(doc_id, item_id, n_words): each document with the items whose own wording it holds; words of the item matched."""
     spark = documents.sparkSession
     d = documents.where(F.col(doc_id).isNotNull() & F.col(text).isNotNull()).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     rows = items.where("item_id is not null and text is not null").select(F.col("item_id").cast("long"), F.col("suite").cast("string"), "text").distinct()
+    shared = shared_wording(rows)
     found, block, size = [], [], 0
 
     def scan(block: list[tuple[int, str, str]]) -> DataFrame:
-        index = spark.sparkContext.broadcast(EvalIndex(block, *prepare(block)))
+        index = spark.sparkContext.broadcast(EvalIndex(block, *shared))
 
         def match(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             x = index.value

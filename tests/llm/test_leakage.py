@@ -87,3 +87,13 @@ def test_leaks_that_many_documents_hold_are_no_standing_text(spark, items):
     d = spark.createDataFrame([*copies, (300, " ".join(words(60)) + ". " + half), *((400 + n, " ".join(words(60))) for n in range(60))], "doc_id long, text string")
     got = {(r["doc_id"], r["item_id"]) for r in k.leaked_items(d, i).collect()}
     assert got == {(n, 0) for n in range(60)} | {(n, 1) for n in [*range(100, 160), *range(200, 260), 300]}
+
+
+def test_phrases_of_items_in_different_blocks_are_common(spark, items):
+    phrase = " ".join(words(24)) + ". "
+    it = [(i, "s", phrase + text) for i, _, text in items[:4]]
+    i = spark.createDataFrame([*it, (9, None, "stub")], "item_id long, suite string, text string")
+    d = spark.createDataFrame([(1, " ".join(words(30)) + ". " + phrase), (2, items[0][2])], "doc_id long, text string")
+    assert k.shared_wording(i) == k.prepare([*it, (9, None, "stub")])
+    for chars in (1, 10**9):
+        assert [tuple(r)[:2] for r in k.leaked_items(d, i, block_chars=chars).collect()] == [(2, 0)]
