@@ -14,15 +14,27 @@ from pyspark.sql import functions as F
 from .config import Config, IndexNotFound, QueryError
 from .functions.text import query_terms, snippet
 from .operators import fusion, graph_analytics, scans
+from .session import cut
 from .sources.files import load_index
 
 
+# Usual and greatest number of rows by surface and question.
+LIMITS = {
+    "library": {"search": (10, 1_000_000), "similar": (10, 1_000_000), "explain": (6, 12)},
+    "cli": {"search": (10, 1_000_000), "similar": (10, 1_000_000), "explain": (6, 12)},
+    "http": {"search": (12, 50), "similar": (10, 30), "explain": (8, 8)},
+    "tools": {"search": (5, 20), "similar": (5, 20), "explain": (6, 12)},
+}
+
+
 class CodeIndex:
     """chunks, vectors, nodes and edges of one index."""
 
-    def __init__(self, chunks: DataFrame, vectors: DataFrame, nodes: DataFrame, edges: DataFrame, config: Config | None = None) -> None:
+    def __init__(self, chunks: DataFrame, vectors: DataFrame, nodes: DataFrame, edges: DataFrame, config: Config | None = None, words: dict[str, DataFrame] | None = None) -> None:
+        """``words``: the stored keyword index (postings, term_df, corpus_stats, cells), if there is one; searches then read it."""
         self.chunks, self.vectors, self.nodes, self.edges = chunks, vectors, nodes, edges
         self.config = config or Config()
+        self.words = words
 
     @classmethod
     def load(cls, spark: SparkSession, folder: str, config: Config | None = None) -> CodeIndex:
@@ -30,18 +42,28 @@ class CodeIndex:
         missing = [x for x in ("chunks", "vectors", "nodes", "edges") if x not in t]
         if missing:
             raise IndexNotFound(f"{folder} has no {', '.join(missing)}")
-        return cls(t["chunks"], t["vectors"], t["nodes"], t["edges"], config)
+        stored = all(x in t for x in ("postings", "term_df", "corpus_stats"))
+        return cls(t["chunks"], t["vectors"], t["nodes"], t["edges"], config, t if stored else None)
+
+    def _limit(self, what: str, asked: int | None) -> int:
+        """The rows asked for, else the surface's usual number, and at most its greatest."""
+        usual, most = LIMITS[self.config.surface][what]
+        return max(1, min(asked or (self.config.limit if self.config.surface == "library" else usual), most))
 
     @cached_property
     def _communities(self) -> DataFrame:
         return graph_analytics.communities(self.nodes, self.edges)
 
     def search_code(self, query: str, limit: int | None = None, language: str | None = None) -> DataFrame:
-        hits = fusion.search(self.chunks, self.vectors, query, limit or self.config.limit, language, self.config.rrf_k)
+        n = self._limit("search", limit)
+        if self.words:
+            hits = fusion.search_index(self.words, query, n, language, self.config.rrf_k)
+        else:
+            hits = fusion.search(self.chunks, self.vectors, query, n, language, self.config.rrf_k)
         return hits.withColumn("snippet", snippet(F.col("content"), query_terms(query), self.config.snippet_lines))
 
     def find_similar(self, text: str, limit: int | None = None, exclude: int | None = None) -> DataFrame:
-        return fusion.search_similar(self.chunks, self.vectors, text, limit or self.config.limit, exclude)
+        return fusion.search_similar(self.chunks, self.vectors, text, self._limit("similar", limit), exclude)
 
     def find_callers(self, name: str) -> DataFrame:
         return graph_analytics.callers(self.nodes, self.edges, name)
@@ -92,18 +114,21 @@ class CodeIndex:
     def blast_radius(self, file_path: str) -> DataFrame:
         return graph_analytics.blast_radius(self.nodes, self.edges, file_path).orderBy("depth", "path")
 
-    def explain(self, query: str, limit: int = 6) -> DataFrame:
+    def explain(self, query: str, limit: int | None = None) -> DataFrame:
         """The context of a question, for a model to answer from: (part, rank, text). Hits; callers and callees of the
-        definition around the best hit; the most connected nodes."""
-        hits = self.search_code(query, min(limit, 12)).select("chunk_id", "file_path", "line_start", "score", "content")
+        definition around the best hit; members of its community (12 at most); the most connected nodes."""
+        ga = graph_analytics
+        hits = cut(self.search_code(query, self._limit("explain", limit)).select("chunk_id", "file_path", "line_start", "score", "content"))
         top = hits.orderBy(F.desc("score"), "chunk_id").limit(1).select(F.lit(1).alias("point_id"), "file_path", F.col("line_start").alias("line"))
-        around = graph_analytics.enclosing_definition(top, self.nodes).select(F.col("id").alias("at"))
-        calls = graph_analytics.clean_edges(self.edges).where("kind = 'calls'")
+        around = cut(ga.enclosing_definition(top, self.nodes).select(F.col("id").alias("at")))
+        calls = ga.clean_edges(self.edges).where("kind = 'calls'")
         near = calls.join(F.broadcast(around), (F.col("src") == F.col("at")) | (F.col("dst") == F.col("at"))).select(F.when(F.col("src") == F.col("at"), "callee").otherwise("caller").alias("part"), F.when(F.col("src") == F.col("at"), F.col("dst")).otherwise(F.col("src")).alias("id"))
-        names = near.join(graph_analytics.clean_nodes(self.nodes).select("id", "name", "file_path"), "id").select("part", F.lit(0).alias("rank"), F.concat_ws(" ", "name", "file_path").alias("text"))
+        names = near.join(ga.clean_nodes(self.nodes).select("id", "name", "file_path"), "id").select("part", F.lit(0).alias("rank"), F.concat_ws(" ", "name", "file_path").alias("text"))
+        its = self._communities.join(F.broadcast(around), F.col("id") == F.col("at"), "left_semi").select("community")
+        members = ga.community_members(self.nodes, self._communities, its, 12).select(F.lit("community").alias("part"), "rank", F.concat_ws(" ", "name", "file_path").alias("text"))
         gods = self.get_god_nodes(5).select(F.lit("hub").alias("part"), F.col("degree").cast("int").alias("rank"), F.concat_ws(" ", "name", "file_path").alias("text"))
         found = hits.select(F.lit("hit").alias("part"), F.col("line_start").alias("rank"), F.concat_ws("\n", "file_path", "content").alias("text"))
-        return found.unionByName(names).unionByName(gods)
+        return found.unionByName(names).unionByName(members).unionByName(gods)
 
 
 TOOLS = (

@@ -41,6 +41,7 @@ class Config:
     limit: int = 10
     rrf_k: int = 60
     snippet_lines: int = 6
+    surface: str = "library"
 
     def save(self, path: str) -> None:
         Path(path).write_text(json.dumps(asdict(self), indent=2))

@@ -144,6 +144,12 @@ def clean_path(path: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(path, r"^\\\\\?\\", ""), r"\\", "/")
 
 
+def cloud_path(path: Column) -> Column:
+    """A path as ``repository: place below src``; without a folder ``src`` the last two components."""
+    m = F.regexp_extract(clean_path(path), r"([^/]+)/src/(.+)$", 0)
+    return F.when(m != "", F.concat(F.substring_index(m, "/src/", 1), F.lit(": "), F.substr(m, F.length(F.substring_index(m, "/src/", 1)) + 6))).otherwise(last_two(clean_path(path)))
+
+
 def http_method(decorator: Column) -> Column:
     """The HTTP method of a route decorator: GET … OPTIONS, or ROUTE; null if it has none."""
     m = F.regexp_extract(decorator, r"\.(get|post|put|delete|patch|head|options)\(", 1)

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.languages import CODE_LANGUAGES
 from ..functions.text import lines
+from ..session import cut
 
 WINDOW, STEP, MIN_WORDS = 40, 30, 3
 COLUMNS = "path string, language string, chunk_type string, line_start int, line_end int, content string"
@@ -26,14 +27,18 @@ def words(text: Column) -> Column:
     return F.size(F.filter(F.split(text, r"\s+"), lambda w: w != ""))
 
 
+def _windows(ls: Column, window: int = WINDOW, step: int = STEP) -> Column:
+    """The windows of an array of lines, as an array of (line_start, line_end, content); those of few words are left out."""
+    starts = F.filter(F.sequence(F.lit(0), F.greatest(F.size(ls) - 1, F.lit(0)), F.lit(step)), lambda s: (s == 0) | (s + (window - step) < F.size(ls)))
+    every = F.transform(starts, lambda s: F.struct((s + 1).alias("line_start"), F.least(s + window, F.size(ls)).alias("line_end"), F.array_join(F.slice(ls, s + 1, F.lit(window)), "\n").alias("content")))
+    return F.filter(every, lambda w: words(w["content"]) >= MIN_WORDS)
+
+
 def line_windows(files: DataFrame, window: int = WINDOW, step: int = STEP) -> DataFrame:
     """Windows of ``window`` lines every ``step`` lines; the one that reaches the end is the last. Windows of few words are left out."""
     d = files.select("path", "language", lines(F.col("content")).alias("ls")).where(F.size("ls") > 0)
-    starts = F.filter(F.sequence(F.lit(0), F.size("ls") - 1, F.lit(step)), lambda s: (s == 0) | (s + (window - step) < F.size("ls")))
-    d = d.select("path", "language", "ls", F.explode(starts).alias("s"))
-    text = F.array_join(F.slice("ls", F.col("s") + 1, F.lit(window)), "\n")
-    d = d.select("path", "language", F.lit("Module").alias("chunk_type"), (F.col("s") + 1).alias("line_start"), F.least(F.col("s") + window, F.size("ls")).alias("line_end"), text.alias("content"))
-    return d.where(words(F.col("content")) >= MIN_WORDS)
+    d = d.select("path", "language", F.explode(_windows(F.col("ls"), window, step)).alias("w"))
+    return d.select("path", "language", F.lit("Module").alias("chunk_type"), "w.line_start", "w.line_end", "w.content")
 
 
 def markdown_sections(files: DataFrame) -> DataFrame:
@@ -180,33 +185,45 @@ def blocks_of(text: str, language: str, scanners=None) -> list[tuple[str, int, i
     return out
 
 
-def code_blocks(files: DataFrame, scanners=None) -> DataFrame:
-    """Syntactic blocks: functions, methods, classes (whose methods are blocks too), exports."""
+def code_blocks(files: DataFrame, scanners=None, rest: bool = False) -> DataFrame:
+    """Syntactic blocks: functions, methods, classes (whose methods are blocks too), exports. With ``rest``, a file in
+    which none is found comes out whole, with no chunk_type."""
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [(p, lang, *x) for p, lang, t in zip(b["path"], b["language"], b["content"]) for x in blocks_of(t, lang, scanners)]
+            rows = []
+            for p, lang, t in zip(b["path"], b["language"], b["content"]):
+                got = blocks_of(t, lang, scanners)
+                rows += [(p, lang, *x) for x in got]
+                if rest and not got:
+                    rows.append((p, lang, None, None, None, t))
             if rows:
-                yield pd.DataFrame(rows, columns=["path", "language", "chunk_type", "line_start", "line_end", "content"])
+                yield pd.DataFrame(rows, columns=["path", "language", "chunk_type", "line_start", "line_end", "content"]).astype({"line_start": "Int32", "line_end": "Int32"})
 
     return files.select("path", "language", "content").mapInPandas(read, COLUMNS)
 
 
 def chunk_files(files: DataFrame, scanners=None) -> DataFrame:
     """All rules by language: blocks of code; windows where a language has no scanner or a file no block; one chunk for a
-    file that is left with nothing but isn't blank; sections of Markdown; paragraphs of everything else."""
+    file that is left with nothing but isn't blank; sections of Markdown; paragraphs of everything else.
+
+    Each file is parsed once; what the scanners leave is written once to the shared folder with their blocks.
+    """
     f = files.where(F.length(F.trim("content")) > 0)
     with_scanner = list(scanners or SCANNERS)
     code = f.where(F.col("language").isin(*CODE_LANGUAGES))
-    parsed = code_blocks(code.where(F.col("language").isin(*with_scanner)), scanners)
-    rest = code.join(parsed.select("path").distinct(), "path", "left_anti")
-    windows = line_windows(rest)
-    left = rest.join(windows.select("path").distinct(), "path", "left_anti")
-    whole = left.select("path", "language", F.lit("Module").alias("chunk_type"), F.lit(1).alias("line_start"), F.size(lines(F.col("content"))).alias("line_end"), F.trim("content").alias("content"))
+    scanned = F.col("language").isin(*with_scanner)
+    parsed = cut(code_blocks(code.where(scanned), scanners, rest=True))
+    rest = parsed.where("chunk_type is null").select("path", "language", "content").unionByName(code.where(~scanned).select("path", "language", "content"))
+    ls = lines(F.col("content"))
+    ws = rest.select("path", "language", F.size(ls).alias("n"), _windows(ls).alias("ws"), F.trim("content").alias("content"))
+    # a file whose windows all have too few words is one chunk
+    whole = F.array(F.struct(F.lit(1).alias("line_start"), F.col("n").alias("line_end"), F.col("content").alias("content")))
+    windows = ws.select("path", "language", F.explode(F.when(F.size("ws") > 0, F.col("ws")).otherwise(whole)).alias("w"))
+    windows = windows.select("path", "language", F.lit("Module").alias("chunk_type"), "w.line_start", "w.line_end", "w.content")
     prose = f.where(~F.col("language").isin(*CODE_LANGUAGES))
-    parts = [parsed, windows, whole, markdown_sections(prose.where("language = 'md'")), paragraphs(prose.where("language <> 'md'"))]
-    out = parts[0]
-    for p in parts[1:]:
+    out = parsed.where("chunk_type is not null")
+    for p in (windows, markdown_sections(prose.where("language = 'md'")), paragraphs(prose.where("language <> 'md'"))):
         out = out.unionByName(p)
     return out
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import DIM, embed_text
 from ..functions.languages import clean_language, language_filter
+from ..session import cut
 from . import bm25, vector
 
 RRF_K, CANDIDATES, CANDIDATES_FILTERED, LIMIT = 60, 50, 200, 10
@@ -47,22 +48,40 @@ def suppress_overlaps(hits: DataFrame, record_id: str, most: float = 0.5) -> Dat
 
 
 def enrich(scored: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Hits with their chunk; ids that no chunk has are left out."""
+    """Hits with their chunk; ids that no chunk has are left out. The hits are few (top-k lists), so they go to the chunks;
+    repeated chunks are dropped among what they meet."""
     c = chunks.select(F.col("id").alias("chunk_id"), "file_path", "line_start", "line_end", clean_language(F.col("language"), F.col("file_path")).alias("language"), "chunk_type", "content")
-    return scored.join(c, "chunk_id")
+    return c.join(F.broadcast(scored), "chunk_id").dropDuplicates(["chunk_id"])
+
+
+def finish(keyword: DataFrame, semantic: DataFrame, chunks: DataFrame, limit: int, lang: str | None, rrf_k: int) -> DataFrame:
+    """Two candidate lists fused, with their chunks, filtered by language, without overlaps, the best ``limit``."""
+    hits = enrich(reciprocal_rank_fusion(keyword, semantic, "chunk_id", rrf_k), chunks)
+    if lang:
+        hits = hits.where(F.col("language") == lang)
+    return suppress_overlaps(cut(hits), "chunk_id").orderBy(F.desc("score"), "chunk_id").limit(limit)
 
 
 def search(chunks: DataFrame, vectors: DataFrame, query: str, limit: int = LIMIT, language: str | None = None, rrf_k: int = RRF_K) -> DataFrame:
-    """Hybrid search: keyword and vector candidates, fused, filtered by language, without overlaps, the best ``limit``."""
+    """Hybrid search by a scan of the texts: keyword and vector candidates, fused and finished."""
     lang = language_filter(language)
     depth = CANDIDATES_FILTERED if lang else CANDIDATES
-    one = chunks.dropDuplicates(["id"])
-    kw = bm25.top(bm25.score_scan(one.withColumnRenamed("id", "chunk_id"), "chunk_id", "content", query), "chunk_id", depth)
+    kw = bm25.top(bm25.score_scan(chunks.withColumnRenamed("id", "chunk_id"), "chunk_id", "content", query), "chunk_id", depth)
     sem = vector.nearest(vectors, "chunk_id", "vec", [(0, embed_text(query, DIM))], depth).select("chunk_id", "score")
-    hits = enrich(reciprocal_rank_fusion(kw, sem, "chunk_id", rrf_k), one)
-    if lang:
-        hits = hits.where(F.col("language") == lang)
-    return suppress_overlaps(hits, "chunk_id").orderBy(F.desc("score"), "chunk_id").limit(limit)
+    return finish(kw, sem, chunks, limit, lang, rrf_k)
+
+
+def search_index(index: dict[str, DataFrame], query: str, limit: int = LIMIT, language: str | None = None, rrf_k: int = RRF_K, probes: int | None = None) -> DataFrame:
+    """Hybrid search over a stored index (``stored.build_index``): no text is read but that of the candidates.
+
+    ``probes``: cells of the vector index that are searched; all vectors where it is None.
+    """
+    lang = language_filter(language)
+    depth = CANDIDATES_FILTERED if lang else CANDIDATES
+    kw = bm25.search_index(index, query, "chunk_id", depth)
+    q = [(0, embed_text(query, DIM))]
+    sem = vector.nearest(index["vectors"], "chunk_id", "vec", q, depth) if probes is None else vector.search_cells(index["vectors"], index["cells"], "chunk_id", q, depth, probes)
+    return finish(kw, sem.select("chunk_id", "score"), index["chunks"], limit, lang, rrf_k)
 
 
 def search_similar(chunks: DataFrame, vectors: DataFrame, text: str, limit: int = LIMIT, exclude: int | None = None) -> DataFrame:
@@ -71,8 +90,7 @@ def search_similar(chunks: DataFrame, vectors: DataFrame, text: str, limit: int
     s = got.select("chunk_id", F.round(1.0 / (1.0 + F.greatest(F.lit(0.0), 1.0 - F.col("score"))), 6).alias("score"), F.lit("SEM").alias("signal"))
     if exclude is not None:
         s = s.where(F.col("chunk_id") != exclude)
-    hits = enrich(s, chunks.dropDuplicates(["id"]))
-    return suppress_overlaps(hits, "chunk_id").orderBy(F.desc("score"), "chunk_id").limit(limit)
+    return suppress_overlaps(cut(enrich(s, chunks)), "chunk_id").orderBy(F.desc("score"), "chunk_id").limit(limit)
 
 
 def merge_indexes(results: list[DataFrame], limit: int) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..session import cut_in_loop as cut
 
 # Thresholds and names of the health and pattern reports.
-GOD_DEGREE, GOD_CALLS, LONG_FILE, HIGH_COUPLING = 15, 15, 600, 8
+GOD_DEGREE, GOD_CALLS, LONG_FILE, HIGH_COUPLING, LISTED = 15, 15, 600, 8, 10
 ENTRY_NAMES = ("main", "new", "run", "start", "stop", "default", "chunk", "embed")
 KIND_ORDER = ("endpoint", "class", "struct", "trait", "function", "method", "module")
 LAYERS = (
@@ -63,30 +63,39 @@ def _sides(edges: DataFrame) -> DataFrame:
     return e.select(F.explode(F.array(F.struct("src", "dst"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst")))).alias("x")).select(F.col("x.src").alias("id"), F.col("x.dst").alias("nbr"))
 
 
+def _turn(id: Column, draw: Column, half: int) -> Column:
+    """Whether a node changes in this half of a pair of rounds: one of two sets of nodes, drawn anew with ``draw``."""
+    x = F.pmod((F.pmod(id.cast("long"), F.lit(1_000_003)) + 1) * (draw * 7_919 + 40_503), F.lit(1_000_003))
+    return F.pmod(F.shiftright(x * x, 7), F.lit(2)) == half
+
+
 def communities(nodes: DataFrame, edges: DataFrame, rounds: int = 50) -> DataFrame:
     """(id, community): label propagation over calls and imports, both ways; a community is named by its label.
 
-    Half the nodes (by a hash that changes with the round) change in a round, so two sides cannot swap labels for ever.
-    A node takes its neighbours' most frequent label, keeps its own on a tie, else the smallest. Rounds end when two in
-    a row change nothing. Labels are counted before the shuffle by node and label, so a hub is no single task, and each
-    round is written to the shared folder.
+    Half the nodes (another half in every pair of rounds) change in a round, so two sides cannot swap labels for ever. A
+    node takes its neighbours' most frequent label, keeps its own on a tie, else the smallest. Every node has its turn
+    once in a pair of rounds, so a pair that changes nothing is the end. Labels are counted before the shuffle by node
+    and label, so a hub is no single task. Only nodes with edges take part, and each pair of rounds is written once to
+    the shared folder.
     """
     sides = cut(_sides(edges))
-    labels = cut(clean_nodes(nodes).select("id", F.col("id").cast("long").alias("label")))
-    quiet = 0
-    for r in range(rounds):
-        votes = sides.join(labels.select(F.col("id").alias("nbr"), "label"), "nbr").groupBy("id", "label").agg(F.count("*").alias("n"))
-        v = votes.join(labels.withColumnRenamed("label", "own"), "id")
-        best = v.groupBy("id").agg(F.max(F.struct("n", (F.col("label") == F.col("own")).cast("int").alias("mine"), (-F.col("label")).alias("low"))).alias("b")).select("id", (-F.col("b.low")).alias("new"))
-        turn = F.pmod(F.xxhash64("id", F.lit(r // 2)), F.lit(2)) == r % 2
-        step = labels.join(best, "id", "left").select("id", F.when(turn & F.col("new").isNotNull(), F.col("new")).otherwise(F.col("label")).alias("label"), F.col("label").alias("old"))
+    linked = sides.select("id").distinct()
+    every = clean_nodes(nodes).select("id", F.col("id").cast("long").alias("label"))
+    labels = cut(every.join(linked, "id", "left_semi").withColumn("draw", F.lit(0).cast("long")))
+    for _ in range(0, rounds, 2):
+        # what changes from round to round is data, so every round runs the code compiled for the first
+        step = labels.withColumn("old", F.col("label"))
+        for half in (0, 1):
+            votes = sides.join(step.select(F.col("id").alias("nbr"), "label"), "nbr").select("id", "label", F.lit(1).alias("n"), F.lit(0).alias("mine"), F.lit(None).cast("long").alias("old"), F.lit(None).cast("long").alias("draw"))
+            own = step.select("id", "label", F.lit(0).alias("n"), F.lit(1).alias("mine"), "old", "draw")
+            v = votes.unionByName(own).groupBy("id", "label").agg(F.sum("n").alias("n"), F.max("mine").alias("mine"), F.max("old").alias("old"), F.max("draw").alias("draw"))
+            b = v.groupBy("id").agg(F.max(F.struct("n", "mine", (-F.col("label")).alias("low"))).alias("b"), F.max(F.when(F.col("mine") == 1, F.col("label"))).alias("own"), F.max("old").alias("old"), F.max("draw").alias("draw"))
+            step = b.select("id", F.when(_turn(F.col("id"), F.col("draw"), half) & (F.col("b.n") > 0), -F.col("b.low")).otherwise(F.col("own")).alias("label"), "old", "draw")
         step = cut(step)
-        changed = step.where("label <> old").limit(1).count()
-        labels = step.select("id", "label")
-        quiet = 0 if changed else quiet + 1
-        if quiet >= 4:
+        labels = step.select("id", "label", (F.col("draw") + 1).alias("draw"))
+        if not step.agg(F.count_if(F.col("label") != F.col("old"))).first()[0]:  # one job; isEmpty looks at few partitions a job
             break
-    return labels.select("id", F.col("label").alias("community"))
+    return every.select("id").join(labels, "id", "left").select("id", F.coalesce("label", F.col("id").cast("long")).alias("community"))
 
 
 def surprise_edges(nodes: DataFrame, edges: DataFrame, community: DataFrame, limit: int = 15) -> DataFrame:
@@ -99,13 +108,22 @@ def surprise_edges(nodes: DataFrame, edges: DataFrame, community: DataFrame, lim
 
 
 def community_listing(nodes: DataFrame, community: DataFrame, limit: int = 8) -> DataFrame:
-    """The largest communities: size (modules too), members that are no modules, their most frequent file."""
-    n = clean_nodes(nodes).select("id", "kind", "file_path").join(community, "id")
+    """The largest communities: size (modules too), members that are no modules, their most frequent file, and the names
+    of the first ``LISTED`` members by file, line and id (a listing shows so many; all are in ``communities``)."""
+    n = clean_nodes(nodes).select("id", "name", "kind", "file_path", "line_start").join(community, "id")
     size = n.groupBy("community").agg(F.count("*").alias("size"), F.count_if(F.col("kind") != "module").alias("n_members"))
     top = size.orderBy(F.desc("size"), "community").limit(limit)
     files = n.where("kind <> 'module'").join(F.broadcast(top.select("community")), "community").groupBy("community", "file_path").count()
     mode = files.groupBy("community").agg(F.min_by("file_path", F.struct(-F.col("count"), F.col("file_path"))).alias("file_path"))
-    return top.join(mode, "community", "left")
+    return top.join(mode, "community", "left").join(community_members(nodes, community, top, LISTED).groupBy("community").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "name"))), lambda x: x["name"]), ", ").alias("members")), "community", "left")
+
+
+def community_members(nodes: DataFrame, community: DataFrame, which: DataFrame, most: int | None = None) -> DataFrame:
+    """(community, rank, id, name, file_path): the members, modules apart, of the communities ``which``, by file, line and id."""
+    n = clean_nodes(nodes).where("kind <> 'module'").select("id", "name", "file_path", "line_start").join(community, "id").join(which.select("community").distinct(), "community", "left_semi")
+    w = Window.partitionBy("community").orderBy("file_path", "line_start", "id")
+    m = n.withColumn("rank", F.row_number().over(w))  # a window with a rank below a bound keeps the first rows of each task only
+    return (m.where(F.col("rank") <= most) if most else m).select("community", "rank", "id", "name", "file_path")
 
 
 def reach(nodes: DataFrame, edges: DataFrame, start: DataFrame, depth: int | None = None) -> DataFrame:
@@ -206,31 +224,38 @@ def _imports(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return e.join(m.withColumnRenamed("id", "src"), "src", "left_semi").join(m.withColumnRenamed("id", "dst"), "dst", "left_semi")
 
 
-def cyclic_modules(nodes: DataFrame, edges: DataFrame, rounds: int = 200) -> DataFrame:
+def lifted(nodes: DataFrame, edges: DataFrame, kinds=("imports", "calls")) -> DataFrame:
+    """Edges between definitions as imports between the modules of their files."""
+    module = clean_nodes(nodes).where("kind = 'module'").groupBy("file_path").agg(F.min("id").alias("module"))
+    at = clean_nodes(nodes).select("id", "file_path").join(module, "file_path").select("id", "module")
+    e = clean_edges(edges).where(F.col("kind").isin(*kinds)).join(at.toDF("src", "a"), "src").join(at.toDF("dst", "b"), "dst").where("a <> b")
+    return e.select(F.col("a").alias("src"), F.col("b").alias("dst"), F.lit("imports").alias("kind")).distinct()
+
+
+def cyclic_modules(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, cycle): modules on import cycles, by strongly connected component (its smallest id).
 
-    Leaves are trimmed first, from both ends, so only what may be cyclic goes on. Components then come by forward and
+    Each round trims leaves, from both ends, so only what may be cyclic goes on. Components then come by forward and
     backward labels: every node learns the smallest id that reaches it and that it reaches; where both agree it belongs
-    to that id's component, and the rest goes round again.
+    to that id's component, and the rest goes round again until no edge is left: a round settles the smallest id left
+    at least, so it ends.
     """
     e = cut(_imports(nodes, edges).distinct())
-    while True:
-        t = e.join(e.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(e.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi")
-        t = cut(t.select("src", "dst"))
-        same = t.count() == e.count()
-        e = t
-        if same or e.isEmpty():
-            break
     done: DataFrame | None = None
-    for _ in range(rounds):
-        if e.isEmpty():
-            break
+    left = e.count()
+    while left:
+        t = e.join(e.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(e.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi")
+        e = cut(t.select("src", "dst"))
+        before, left = left, e.count()
+        if left < before:
+            continue
         ids = cut(e.select(F.explode(F.array("src", "dst")).alias("id")).distinct())
         fwd, bwd = _least_label(ids, e, "src", "dst"), _least_label(ids, e, "dst", "src")
         both = cut(fwd.withColumnRenamed("label", "f").join(bwd.withColumnRenamed("label", "b"), "id"))
         comp = both.where("f = b").select("id", F.col("f").alias("cycle"))
         done = comp if done is None else done.unionByName(comp)
         e = cut(e.join(comp.select(F.col("id").alias("src")), "src", "left_anti").join(comp.select(F.col("id").alias("dst")), "dst", "left_anti"))
+        left = e.count()
     if done is None:
         return clean_nodes(nodes).select("id", F.col("id").alias("cycle")).where(F.lit(False))
     size = done.groupBy("cycle").count().where("count > 1").select("cycle")
@@ -243,7 +268,7 @@ def _least_label(ids: DataFrame, e: DataFrame, a: str, b: str) -> DataFrame:
         got = e.join(labels.withColumnRenamed("id", a), a).groupBy(F.col(b).alias("id")).agg(F.min("label").alias("new"))
         step = cut(labels.join(got, "id", "left").select("id", F.least("label", F.coalesce("new", "label")).alias("label"), F.col("label").alias("old")))
         labels = step.select("id", "label")
-        if step.where("label <> old").isEmpty():
+        if not step.agg(F.count_if(F.col("label") != F.col("old"))).first()[0]:
             return labels
 
 
@@ -338,6 +363,12 @@ def neighbourhood(edges: DataFrame, node_id: int) -> DataFrame:
     return other.unionByName(e.sparkSession.range(1).select(F.lit(node_id).cast(e.schema["src"].dataType).alias("id"))).distinct()
 
 
+def filter_edges(edges: DataFrame, kinds: tuple[str, ...] = ()) -> DataFrame:
+    """Edges of the kinds a viewer shows; all if none is named."""
+    e = clean_edges(edges)
+    return e.where(F.col("kind").isin(*kinds)) if kinds else e
+
+
 def filter_graph(nodes: DataFrame, text: str | None = None) -> DataFrame:
     """Nodes whose name or path contains a text, whatever its case."""
     n = clean_nodes(nodes)

@@ -43,10 +43,10 @@ SECURITY_LIMIT, SNIPPET = 300, 150
 
 
 def chunk_lines(chunks: DataFrame) -> DataFrame:
-    """(file_path, line, text, language): each line of each chunk; overlapping chunks give a line more than once."""
-    c = chunks.dropDuplicates(["id"])
+    """(id, file_path, line, raw, language): each line of each row; overlapping chunks and repeated rows give a line more
+    than once. Repeats are dropped from what a scan finds: no text is shuffled to drop them before."""
     lang = clean_language(F.col("language"), F.col("file_path")).alias("language")
-    return c.select("file_path", "line_start", lang, F.posexplode(lines(F.col("content"))).alias("pos", "raw")).select("file_path", (F.col("line_start") + F.col("pos")).alias("line"), F.col("raw"), "language")
+    return chunks.select("id", "file_path", "line_start", lang, F.posexplode(lines(F.col("content"))).alias("pos", "raw")).select("id", "file_path", (F.col("line_start") + F.col("pos")).alias("line"), F.col("raw"), "language")
 
 
 def todo_kind(text: Column) -> Column:
@@ -57,7 +57,7 @@ def todo_kind(text: Column) -> Column:
 
 def scan_todos(chunks: DataFrame) -> DataFrame:
     """(file_path, line, kind, text, language), a row for each line with a tag."""
-    d = chunk_lines(chunks).withColumn("kind", todo_kind(F.col("raw"))).where("kind is not null")
+    d = chunk_lines(chunks).withColumn("kind", todo_kind(F.col("raw"))).where("kind is not null").dropDuplicates(["id", "line"])
     return d.select("file_path", "line", "kind", F.trim("raw").alias("text"), "language")
 
 
@@ -95,7 +95,7 @@ def security_summary(chunks: DataFrame) -> DataFrame:
 
 def file_list(chunks: DataFrame) -> DataFrame:
     """(file_path, chunks, language of the first chunk)."""
-    c = chunks.dropDuplicates(["id"]).select("id", "file_path", clean_language(F.col("language"), F.col("file_path")).alias("language"))
+    c = chunks.select("id", "file_path", "language").dropDuplicates(["id"]).select("id", "file_path", clean_language(F.col("language"), F.col("file_path")).alias("language"))
     return c.groupBy("file_path").agg(F.count("*").alias("chunks"), F.min_by("language", "id").alias("language"))
 
 
@@ -111,7 +111,7 @@ def index_stats(chunks: DataFrame) -> DataFrame:
 
 
 def sample_queries(chunks: DataFrame, n: int = 100, n_words: int = 8) -> DataFrame:
-    """About ``n`` chunks drawn evenly by a hash of their id, their first words as benchmark queries: (query_id, query)."""
-    c = chunks.dropDuplicates(["id"])
+    """About ``n`` chunks drawn evenly by a scrambled id, their first words as benchmark queries: (query_id, query)."""
     words = F.filter(F.split("content", r"\s+"), lambda w: w != "")
-    return c.orderBy(F.xxhash64("id"), "id").limit(n).select(F.col("id").alias("query_id"), F.array_join(F.slice(words, 1, n_words), " ").alias("query"))
+    c = chunks.where("id is not null").select("id", F.array_join(F.slice(words, 1, n_words), " ").alias("query")).dropDuplicates(["id"])
+    return c.orderBy(F.pmod(F.col("id") * 40_503, F.lit(1_000_003)), "id").limit(n).select(F.col("id").alias("query_id"), "query")

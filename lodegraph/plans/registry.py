@@ -5,6 +5,7 @@ Queries run over whole tables. ``chunks`` has repeated rows, so each query count
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,14 +13,15 @@ from pyspark.sql import functions as F
 
 from ..functions import hashing, languages, text
 from ..functions.hashing import embed_text
-from ..operators import bm25, chunking, fusion, graph_analytics, graph_build, scans, vector
-from ..session import cut
+from ..operators import bm25, chunking, fusion, graph_analytics, graph_build, scans, stored, vector
+from ..session import cut, shared_folder
 from ..streaming import upsert
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, Callable[[], str]] = {}
 
+PROBES = 12
 SEARCH_TEXT = "decode ledger checksum retry"
 SEARCH_TEXTS = {1: SEARCH_TEXT, 2: "blocks until the lease is handed over", 3: "snapshot position compact format", 4: "Index des token bereits geschlossen"}
 
@@ -55,6 +57,10 @@ def files_of(spark: SparkSession, sf: str) -> DataFrame:
     return f.select("path", languages.language_of(F.col("path")).alias("language"), "content").where("language is not null")
 
 
+def index_of(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
+    return stored.ensure_index(spark, table(spark, sf, "chunks"), table(spark, sf, "vectors"))
+
+
 # --- SQL fragments -----------------------------------------------------------------------------------------------
 
 
@@ -118,10 +124,28 @@ def _vector_sql(q: list[float], k: int) -> str:
 
 @query(lambda: f"WITH {_bm25_sql(text.query_terms(SEARCH_TEXT), 50)} SELECT chunk_id, score FROM kw")
 def keyword_search(spark: SparkSession, sf: str) -> DataFrame:
-    c = table(spark, sf, "chunks").dropDuplicates(["id"]).select(F.col("id").alias("chunk_id"), "content")
+    """One query over the stored index."""
+    return bm25.search_index(index_of(spark, sf), SEARCH_TEXT, "chunk_id", 50)
+
+
+@query(lambda: f"WITH {_bm25_sql(text.query_terms(SEARCH_TEXT), 50)} SELECT chunk_id, score FROM kw")
+def keyword_scan(spark: SparkSession, sf: str) -> DataFrame:
+    """The same query without an index, in one scan."""
+    c = table(spark, sf, "chunks").select(F.col("id").alias("chunk_id"), "content")
     return bm25.top(bm25.score_scan(c, "chunk_id", "content", SEARCH_TEXT), "chunk_id", 50)
 
 
+@query(f"""WITH t AS (SELECT id, {sql_tokens('content')} AS t FROM {ONE}), p AS (SELECT id, unnest(t) AS term FROM t)
+  SELECT (SELECT count(*) FROM t) AS n_chunks, (SELECT count(*) FROM (SELECT DISTINCT id, term FROM p)) AS n_postings, (SELECT count(DISTINCT term) FROM p) AS n_terms, (SELECT round(avg(len(t)), 6) FROM t) AS avgdl""")
+def index_build(spark: SparkSession, sf: str) -> DataFrame:
+    """Builds the stored index (once a session), and counts what is in it."""
+    x = index_of(spark, sf)
+    counts = x["chunks"].agg(F.count("*").alias("n_chunks"))
+    for d in (x["postings"].agg(F.count("*").alias("n_postings")), x["term_df"].agg(F.count("*").alias("n_terms")), x["corpus_stats"].select(F.round("avgdl", 6).alias("avgdl"))):
+        counts = counts.join(F.broadcast(d))  # one row each
+    return counts
+
+
 @query(lambda: f"WITH {_vector_sql(embed_text(SEARCH_TEXT), 50)} SELECT chunk_id, score FROM sem")
 def vector_search(spark: SparkSession, sf: str) -> DataFrame:
     return vector.nearest(table(spark, sf, "vectors"), "chunk_id", "vec", [(0, embed_text(SEARCH_TEXT))], 50).select("chunk_id", "score")
@@ -133,7 +157,12 @@ def _hybrid_sql(depth: int, limit: int, language: str | None) -> str:
       lists AS (SELECT chunk_id, row_number() OVER (ORDER BY score DESC, chunk_id) - 1 AS r, 1 AS kw, 0 AS sem FROM kw
                UNION ALL SELECT chunk_id, row_number() OVER (ORDER BY score DESC, chunk_id) - 1, 0, 1 FROM sem),
       fz AS MATERIALIZED (SELECT chunk_id, round(sum(1.0::DOUBLE / (60 + r + 1)), 9) AS score, CASE WHEN max(kw) + max(sem) = 2 THEN 'HYBRID' WHEN max(kw) = 1 THEN 'KW' ELSE 'SEM' END AS signal FROM lists GROUP BY chunk_id),
-      hz AS MATERIALIZED (SELECT fz.*, c.file_path, c.line_start, c.line_end, {sql_language('c.language', 'c.file_path')} AS language, c.chunk_type FROM fz JOIN {ONE} c ON c.id = fz.chunk_id),
+      {_finish_sql(limit, language)}"""
+
+
+def _finish_sql(limit: int, language: str | None = None) -> str:
+    """Fused hits ``fz`` with their chunks, without overlaps, the best ``limit``."""
+    return f"""hz AS MATERIALIZED (SELECT fz.*, c.file_path, c.line_start, c.line_end, {sql_language('c.language', 'c.file_path')} AS language, c.chunk_type FROM fz JOIN {ONE} c ON c.id = fz.chunk_id),
       g AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY file_path ORDER BY score DESC, chunk_id) AS n FROM hz {f"WHERE language = {_q(language)}" if language else ''}),
       walk AS (
         SELECT file_path, n, [chunk_id] AS ids, [{{'s': line_start, 'e': line_end}}] AS kept FROM g WHERE n = 1
@@ -151,17 +180,52 @@ HIT = ["chunk_id", "file_path", "line_start", "line_end", "language", "chunk_typ
 
 @query(lambda: _hybrid_sql(50, 10, None))
 def hybrid_search(spark: SparkSession, sf: str) -> DataFrame:
+    return fusion.search_index(index_of(spark, sf), SEARCH_TEXT).select(*HIT)
+
+
+@query(lambda: _hybrid_sql(50, 10, None))
+def hybrid_scan(spark: SparkSession, sf: str) -> DataFrame:
+    """The same search without a stored index."""
     return fusion.search(table(spark, sf, "chunks"), table(spark, sf, "vectors"), SEARCH_TEXT).select(*HIT)
 
 
 @query(lambda: _hybrid_sql(200, 12, "rs"))
 def hybrid_search_language(spark: SparkSession, sf: str) -> DataFrame:
-    return fusion.search(table(spark, sf, "chunks"), table(spark, sf, "vectors"), SEARCH_TEXT, 12, "rust").select(*HIT)
+    return fusion.search_index(index_of(spark, sf), SEARCH_TEXT, 12, "rust").select(*HIT)
 
 
-@query()
+SIMILAR_TEXT = "fn refresh_cache(ledger: u64) -> usize { ledger.push(digest); }"
+
+
+def _similar_sql() -> str:
+    return f"""WITH RECURSIVE {_vector_sql(embed_text(SIMILAR_TEXT), 40)},
+      fz AS MATERIALIZED (SELECT chunk_id, round(1.0::DOUBLE / (1 + greatest(0, 1 - score)), 6) AS score, 'SEM' AS signal FROM sem), {_finish_sql(10)}"""
+
+
+@query(_similar_sql)
 def search_similar(spark: SparkSession, sf: str) -> DataFrame:
-    return fusion.search_similar(table(spark, sf, "chunks"), table(spark, sf, "vectors"), "fn refresh_cache(ledger: u64) -> usize { ledger.push(digest); }").select(*HIT)
+    return fusion.search_similar(table(spark, sf, "chunks"), table(spark, sf, "vectors"), SIMILAR_TEXT).select(*HIT)
+
+
+@query(r"""WITH c AS (SELECT id, list_filter(regexp_split_to_array(any_value(content), '\s+'), lambda w: w <> '')[1:8] AS w FROM chunks WHERE id IS NOT NULL GROUP BY id)
+  SELECT id AS query_id, coalesce(array_to_string(w, ' '), '') AS query FROM c ORDER BY ((id * 40503) % 1000003 + 1000003) % 1000003, id LIMIT 100""")
+def sample_queries(spark: SparkSession, sf: str) -> DataFrame:
+    """Queries for a benchmark, from the chunks themselves."""
+    return scans.sample_queries(table(spark, sf, "chunks"))
+
+
+LIVE = "(SELECT * FROM chunks WHERE id NOT IN (SELECT id FROM chunks WHERE status = 'Tombstoned') QUALIFY row_number() OVER (PARTITION BY id ORDER BY id) = 1)"
+
+
+_LIVE_TOKENS = f"(SELECT id AS chunk_id, {sql_tokens('content')} AS t FROM {LIVE})"
+
+
+@query(lambda: f"WITH {_bm25_sql(text.query_terms(SEARCH_TEXT), 20, src=_LIVE_TOKENS)} SELECT chunk_id, score FROM kw")
+def live_keyword_search(spark: SparkSession, sf: str) -> DataFrame:
+    """Keyword search after a soft delete: tombstoned chunks are gone, from the statistics too."""
+    c = table(spark, sf, "chunks").withColumnRenamed("id", "chunk_id")
+    c = bm25.without(c, c.where("status = 'Tombstoned'"), "chunk_id").select("chunk_id", "content")
+    return bm25.top(bm25.score_scan(c, "chunk_id", "content", SEARCH_TEXT), "chunk_id", 20)
 
 
 def _merged_sql() -> str:
@@ -174,7 +238,7 @@ def _merged_sql() -> str:
 @query(_merged_sql)
 def merged_indexes(spark: SparkSession, sf: str) -> DataFrame:
     """One ranking over two indexes, the chunks' and the documents'."""
-    c = table(spark, sf, "chunks").dropDuplicates(["id"]).select(F.col("id").alias("chunk_id"), F.col("content").alias("text"))
+    c = table(spark, sf, "chunks").select(F.col("id").alias("chunk_id"), F.col("content").alias("text"))
     d = table(spark, sf, "documents").where("text is not null").select(F.col("doc_id").alias("chunk_id"), "text")
     parts = [bm25.top(bm25.score_scan(x, "chunk_id", "text", SEARCH_TEXT), "chunk_id", 12).select(F.lit(n).alias("source"), "chunk_id", "score") for n, x in (("chunks", c), ("documents", d))]
     return fusion.merge_indexes(parts, 12)
@@ -182,18 +246,18 @@ def merged_indexes(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"""WITH t AS (SELECT id, unnest({sql_tokens('content')}) AS term FROM {ONE}) SELECT term, id AS chunk_id, CAST(count(*) AS INTEGER) AS tf FROM t GROUP BY ALL""")
 def postings(spark: SparkSession, sf: str) -> DataFrame:
-    return bm25.postings(bm25.tokenized(table(spark, sf, "chunks").dropDuplicates(["id"]).withColumnRenamed("id", "chunk_id"), "chunk_id", "content"), "chunk_id")
+    return index_of(spark, sf)["postings"].select("term", "chunk_id", "tf")
 
 
 @query(f"""WITH t AS (SELECT DISTINCT id, unnest({sql_tokens('content')}) AS term FROM {ONE}) SELECT term, count(*) AS df FROM t GROUP BY ALL""")
 def term_frequencies(spark: SparkSession, sf: str) -> DataFrame:
-    return bm25.term_df(postings(spark, sf))
+    return index_of(spark, sf)["term_df"]
 
 
 @query(f"""WITH t AS (SELECT len({sql_tokens('content')}) AS dl FROM {ONE}) SELECT count(*) AS n, round(avg(dl), 6) AS avgdl, max(dl) AS longest FROM t""")
 def corpus_statistics(spark: SparkSession, sf: str) -> DataFrame:
-    t = bm25.tokenized(table(spark, sf, "chunks").dropDuplicates(["id"]), "id", "content")
-    return bm25.doc_lengths(t, "id").agg(F.count("*").alias("n"), F.round(F.avg("dl"), 6).alias("avgdl"), F.max("dl").alias("longest"))
+    t = bm25.tokenized(table(spark, sf, "chunks"), "id", "content")
+    return bm25.doc_lengths(t, "id").dropDuplicates(["id"]).agg(F.count("*").alias("n"), F.round(F.avg("dl"), 6).alias("avgdl"), F.max("dl").alias("longest"))
 
 
 @query(f"""SELECT count(DISTINCT term) AS vocabulary FROM (SELECT unnest({sql_tokens('content')}) AS term FROM {ONE})""")
@@ -240,8 +304,7 @@ def document_tokens(spark: SparkSession, sf: str) -> DataFrame:
 def exact_neighbours(spark: SparkSession, sf: str) -> DataFrame:
     """The ten nearest of every fiftieth embedding among all."""
     e = table(spark, sf, "embeddings")
-    q = [(r[0], list(r[1])) for r in e.where("vec_id % 50 = 0").select("vec_id", "embedding").collect()]
-    return vector.nearest(e, "vec_id", "embedding", q, 10)
+    return vector.nearest_in_blocks(e, "vec_id", "embedding", e.where("vec_id % 50 = 0"), "vec_id", "embedding", 10)
 
 
 @query("""SELECT count(*) AS n, count(*) FILTER (WHERE vec IS NULL OR len(vec) <> 384) AS n_bad_length, count(*) FILTER (WHERE len(vec) = 384 AND list_inner_product(vec::DOUBLE[], vec::DOUBLE[]) = 0) AS n_zero,
@@ -262,19 +325,16 @@ def text_embeddings(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def approximate_recall(spark: SparkSession, sf: str) -> DataFrame:
-    """Recall of hashed buckets against exact search, every fiftieth embedding among all."""
-    e = table(spark, sf, "embeddings")
-    exact = exact_neighbours(spark, sf)
-    b = vector.hashed_candidates(e, "vec_id", "embedding", 64, tables=24, bits=5)
-    q = b.where("vec_id % 50 = 0").withColumnRenamed("vec_id", "query_id")
-    pairs = q.join(b, ["table", "bucket"]).select("query_id", "vec_id").distinct()
-    v = e.select("vec_id", "embedding")
-    scored = pairs.join(v, "vec_id").join(v.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), "query_id")
-    from pyspark.sql import Window
+    """Recall at 10 of the stored vector index against exact search, for every fiftieth vector among all.
 
-    s = scored.select("query_id", "vec_id", F.round(vector.dot(F.col("embedding"), F.col("q")), 6).alias("score"))
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return vector.recall(s.withColumn("rank", F.row_number().over(w)).where("rank <= 10"), exact, "vec_id")
+    The queries come in blocks; each block reads the cells its queries probe.
+    """
+    x = index_of(spark, sf)
+    v = table(spark, sf, "vectors").where("chunk_id is not null").groupBy("chunk_id").agg(F.first("vec").alias("vec"))
+    q = cut(v.where("chunk_id % 50 = 0 and size(vec) = 384"))
+    exact = vector.nearest_in_blocks(table(spark, sf, "vectors"), "chunk_id", "vec", q, "chunk_id", "vec", 10)
+    got = vector.probe_in_cells(x["vectors"], x["cells"], "chunk_id", q, "chunk_id", "vec", 10, probes=PROBES)
+    return vector.recall(got, exact, "chunk_id")
 
 
 # --- chunking ----------------------------------------------------------------------------------------------------
@@ -303,8 +363,8 @@ def _window_sql() -> str:
 
 @query(_window_sql)
 def line_window_chunks(spark: SparkSession, sf: str) -> DataFrame:
-    c = table(spark, sf, "chunks").dropDuplicates(["id"]).where("content is not null").select(F.col("id").cast("string").alias("path"), "language", "content")
-    return chunking.line_windows(c).select("path", "line_start", "line_end", F.md5("content").alias("digest"))
+    c = table(spark, sf, "chunks").where("content is not null").select(F.col("id").cast("string").alias("path"), "language", "content")
+    return chunking.line_windows(c).select("path", "line_start", "line_end", F.md5("content").alias("digest")).distinct()
 
 
 def _markdown_sql() -> str:
@@ -379,13 +439,21 @@ def ignored_files(spark: SparkSession, sf: str) -> DataFrame:
     return f.select("file_path", languages.ignored(F.col("file_path")).alias("ignored"))
 
 
-@query()
+def _snippet_sql() -> str:
+    n = lambda x: " + ".join(f"CAST(contains(lower({x}), {_q(t)}) AS INTEGER)" for t in text.query_terms(SEARCH_TEXT))
+    return f"""WITH c AS (SELECT id, file_path, {sql_lines('content')} AS ls FROM {ONE} WHERE {n('content')} > 0),
+      s AS (SELECT *, list_transform(ls, lambda x: {n('x')}) AS ns FROM c), b AS (SELECT *, len(ls) AS n, list_max(list_filter(range(len(ls)), lambda i: ns[i + 1] = list_max(ns))) AS best FROM s),
+      w AS (SELECT *, least(greatest(best - 3, 0) + 6, n) AS stop FROM b)
+    SELECT id AS chunk_id, CASE WHEN n <= 6 THEN array_to_string(ls, chr(10)) ELSE array_to_string(ls[greatest(stop - 6, 0) + 1 : stop], chr(10)) || CASE WHEN stop < n THEN chr(10) || '  ...' ELSE '' END END AS snippet,
+      array_to_string(string_split(file_path, '/')[-2:], '/') AS place FROM w"""
+
+
+@query(_snippet_sql)
 def snippets(spark: SparkSession, sf: str) -> DataFrame:
     """What a result card shows of every chunk that has a term of the query."""
     terms = text.query_terms(SEARCH_TEXT)
-    c = table(spark, sf, "chunks").dropDuplicates(["id"])
-    c = c.where(F.size(text.matching_terms(F.col("content"), terms)) > 0)
-    return c.select(F.col("id").alias("chunk_id"), text.snippet(F.col("content"), terms).alias("snippet"), text.last_two(F.col("file_path")).alias("place"))
+    c = table(spark, sf, "chunks").where(F.size(text.matching_terms(F.col("content"), terms)) > 0)
+    return c.select(F.col("id").alias("chunk_id"), text.snippet(F.col("content"), terms).alias("snippet"), text.last_two(F.col("file_path")).alias("place")).dropDuplicates(["chunk_id"])
 
 
 # --- graph -------------------------------------------------------------------------------------------------------
@@ -409,18 +477,32 @@ def god_nodes(spark: SparkSession, sf: str) -> DataFrame:
     return graph_analytics.god_nodes(*_graph(spark, sf), 20)
 
 
-@query()
+_SIDES = f"(SELECT x.id, x.nbr FROM (SELECT DISTINCT src, dst FROM {EDGES} WHERE kind IN ('calls', 'imports')), LATERAL (SELECT src AS id, dst AS nbr UNION ALL SELECT dst, src) x)"
+_TURN = "(pow(((a.id::BIGINT % 1000003 + 1000003) % 1000003 + 1) * (40503 + 7919 * (a.r // 2)) % 1000003, 2)::BIGINT >> 7) % 2 = a.r % 2"
+_COMMUNITIES = f"""s AS MATERIALIZED {_SIDES},
+  lab(id, label, r) AS (SELECT id, id::BIGINT, 0 FROM {NODES} UNION ALL
+    SELECT a.id, CASE WHEN {_TURN} AND b.new IS NOT NULL THEN b.new ELSE a.label END, a.r + 1 FROM lab a LEFT JOIN (
+      SELECT id, arg_max(label, (n, mine, -label)) AS new FROM (
+        SELECT s.id, x.label, count(*) AS n, max(CASE WHEN x.label = o.label THEN 1 ELSE 0 END) AS mine FROM s JOIN lab x ON x.id = s.nbr JOIN lab o ON o.id = s.id GROUP BY s.id, x.label) GROUP BY id) b ON b.id = a.id
+    WHERE a.r < 50),
+  com AS MATERIALIZED (SELECT id, label AS community FROM lab WHERE r = 50)"""
+
+
+@query(f"WITH RECURSIVE {_COMMUNITIES} SELECT id, community FROM com")
 def communities(spark: SparkSession, sf: str) -> DataFrame:
     return graph_analytics.communities(*_graph(spark, sf))
 
 
-@query()
+@query(f"""WITH RECURSIVE {_COMMUNITIES}, p AS (SELECT src, dst, least(a.community, b.community) AS lo, greatest(a.community, b.community) AS hi FROM {CALLS} e JOIN com a ON a.id = src JOIN com b ON b.id = dst WHERE a.community <> b.community)
+  SELECT src, dst, lo, hi, count(*) OVER (PARTITION BY lo, hi) AS bridges FROM p ORDER BY bridges, src, dst LIMIT 15""")
 def surprise_edges(spark: SparkSession, sf: str) -> DataFrame:
     n, e = _graph(spark, sf)
     return graph_analytics.surprise_edges(n, e, graph_analytics.communities(n, e))
 
 
-@query()
+@query(f"""WITH RECURSIVE {_COMMUNITIES}, n AS (SELECT * FROM {NODES} JOIN com USING (id)), t AS (SELECT community, count(*) AS size, count(*) FILTER (WHERE kind <> 'module') AS n_members FROM n GROUP BY community ORDER BY size DESC, community LIMIT 8),
+  f AS (SELECT community, file_path, count(*) AS c FROM n WHERE kind <> 'module' GROUP BY ALL), m AS (SELECT community, name, row_number() OVER (PARTITION BY community ORDER BY file_path, line_start, id) AS k FROM n WHERE kind <> 'module')
+  SELECT t.*, (SELECT arg_min(file_path, (-c, file_path)) FROM f WHERE f.community = t.community) AS file_path, (SELECT string_agg(name, ', ' ORDER BY k) FROM m WHERE m.community = t.community AND k <= 10) AS members FROM t""")
 def community_listing(spark: SparkSession, sf: str) -> DataFrame:
     n, e = _graph(spark, sf)
     return graph_analytics.community_listing(n, graph_analytics.communities(n, e))
@@ -436,12 +518,17 @@ def blast_files(spark: SparkSession, sf: str) -> DataFrame:
     return graph_analytics.blast_radius(*_graph(spark, sf), HUB_FILE).select("path")
 
 
-@query()
+_DEPTHS = f"""WITH RECURSIVE b AS MATERIALIZED (SELECT DISTINCT dst AS id, src AS nxt FROM {EDGES} WHERE kind IN ('calls', 'imports')),
+  r(id, depth) USING KEY (id) AS (SELECT id, 0 FROM {NODES} WHERE file_path = '{HUB_FILE}' UNION SELECT DISTINCT b.nxt, r.depth + 1 FROM r JOIN b USING (id) WHERE b.nxt NOT IN (SELECT id FROM recurring.r)),
+  files AS (SELECT file_path AS path, CAST(min(depth) AS INTEGER) AS depth FROM r JOIN {NODES} n USING (id) WHERE file_path <> '{HUB_FILE}' GROUP BY file_path)"""
+
+
+@query(f"{_DEPTHS} SELECT path, depth FROM files")
 def blast_radius(spark: SparkSession, sf: str) -> DataFrame:
     return graph_analytics.blast_radius(*_graph(spark, sf), HUB_FILE)
 
 
-@query()
+@query(f"{_DEPTHS} SELECT count(*) AS total_files, CAST(least(100, least(70, 8 * count(*)) + least(30, coalesce(max(depth), 0))) AS INTEGER) AS risk_score FROM files")
 def blast_risk(spark: SparkSession, sf: str) -> DataFrame:
     return graph_analytics.blast_risk(blast_radius(spark, sf))
 
@@ -459,14 +546,23 @@ def callers(spark: SparkSession, sf: str) -> DataFrame:
     return graph_analytics.callers(*_graph(spark, sf), _hub_name(spark, sf))
 
 
-@query(f"SELECT id, name, kind, file_path, line_start FROM {NODES} WHERE id IN (SELECT dst FROM {CALLS} WHERE src IN (SELECT id FROM {NODES} n WHERE n.name = {_HUB} OR ends_with(n.name, '::' || {_HUB})))")
+_CALLER = f"(SELECT arg_min(name, id) FROM {NODES} WHERE id IN (SELECT src FROM {CALLS} WHERE dst IN (SELECT id FROM {NODES} n WHERE n.name = {_HUB})))"
+
+
+@query(f"SELECT id, name, kind, file_path, line_start FROM {NODES} WHERE id IN (SELECT dst FROM {CALLS} WHERE src IN (SELECT id FROM {NODES} n WHERE n.name = {_CALLER} OR ends_with(n.name, '::' || {_CALLER})))")
 def callees(spark: SparkSession, sf: str) -> DataFrame:
-    return graph_analytics.callees(*_graph(spark, sf), _hub_name(spark, sf))
+    """What the first caller of the most connected function calls."""
+    n, e = _graph(spark, sf)
+    first = graph_analytics.callers(n, e, _hub_name(spark, sf)).orderBy("id").limit(1).collect()
+    return graph_analytics.callees(n, e, first[0]["name"] if first else "")
 
 
-@query(f"SELECT id, name, file_path, line_start, detail FROM {NODES} WHERE kind = 'endpoint'")
+@query(lambda: f"SELECT id, name, file_path, line_start, detail FROM {NODES} WHERE kind IN ('function', 'method') AND contains(lower(file_path), '/handlers/')")
 def endpoints(spark: SparkSession, sf: str) -> DataFrame:
-    return graph_analytics.endpoints(table(spark, sf, "nodes"))
+    """The tables have no node of this kind; here the definitions in folders of handlers stand for the routes' handlers."""
+    n = table(spark, sf, "nodes")
+    routed = F.col("kind").isin("function", "method") & F.contains(F.lower("file_path"), F.lit("/handlers/"))
+    return graph_analytics.endpoints(n.withColumn("kind", F.when(routed, "endpoint").otherwise(F.col("kind"))))
 
 
 _RANK = "CASE kind " + " ".join(f"WHEN '{k}' THEN {i}" for i, k in enumerate(graph_analytics.KIND_ORDER)) + f" ELSE {len(graph_analytics.KIND_ORDER)} END"
@@ -498,19 +594,42 @@ def coupling(spark: SparkSession, sf: str) -> DataFrame:
     return graph_analytics.coupling(*_graph(spark, sf))
 
 
-@query()
+def _cycles_sql(links: str) -> str:
+    """Strongly connected components of more than one module, by their smallest id, as mutual reachability."""
+    return f"""l AS MATERIALIZED ({links}), reach(a, b) AS (SELECT src, dst FROM l UNION SELECT reach.a, l.dst FROM reach JOIN l ON l.src = reach.b),
+      cyc AS (SELECT x.a AS id, min(least(x.b, x.a)) AS cycle FROM reach x JOIN reach y ON x.a = y.b AND x.b = y.a WHERE x.a <> x.b GROUP BY x.a)"""
+
+
+_MODULE_LINKS = f"SELECT DISTINCT src, dst FROM {IMPORTS} WHERE src <> dst AND src IN (SELECT id FROM {NODES} WHERE kind = 'module') AND dst IN (SELECT id FROM {NODES} WHERE kind = 'module')"
+_LIFTED = f"""SELECT DISTINCT a.m AS src, b.m AS dst FROM {EDGES} e JOIN mods a ON a.id = e.src JOIN mods b ON b.id = e.dst WHERE e.kind IN ('calls', 'imports') AND a.m <> b.m"""
+_AT = f"mods AS MATERIALIZED (SELECT n.id, m FROM {NODES} n JOIN (SELECT file_path, min(id) AS m FROM {NODES} WHERE kind = 'module' GROUP BY file_path) USING (file_path))"
+
+
+@query(f"WITH RECURSIVE {_AT}, {_cycles_sql(_LIFTED)} SELECT id, cycle FROM cyc")
 def cyclic_modules(spark: SparkSession, sf: str) -> DataFrame:
-    return graph_analytics.cyclic_modules(*_graph(spark, sf))
+    """Cycles of files that use each other, by imports or through calls (by imports alone the tables have none)."""
+    n, e = _graph(spark, sf)
+    return graph_analytics.cyclic_modules(n, graph_analytics.lifted(n, e))
 
 
-@query()
+def _health_sql() -> str:
+    return f"""WITH RECURSIVE {_cycles_sql(_MODULE_LINKS)}, c AS (SELECT least(count(DISTINCT cycle), 10) AS n_cycles FROM cyc),
+      g AS (SELECT count(*) AS n_gods FROM {NODES} n JOIN {_DEGREE} d USING (id) WHERE kind IN ('function', 'method') AND degree >= {graph_analytics.GOD_DEGREE}),
+      o AS (SELECT least(count(*), 20) AS n_orphans FROM {NODES} WHERE kind = 'function' AND id NOT IN (SELECT dst FROM {CALLS}) AND NOT starts_with(list_last(string_split(name, '::')), '_') AND list_last(string_split(name, '::')) NOT IN ({_list(graph_analytics.ENTRY_NAMES)})),
+      f AS (SELECT count(*) AS n_long FROM {NODES} WHERE kind = 'module' AND line_end - line_start > 600),
+      k AS (SELECT CAST(CASE WHEN m > 0 THEN i // m ELSE 0 END AS BIGINT) AS avg_coupling FROM (SELECT count(*) AS m FROM {NODES} WHERE kind = 'module'), (SELECT count(*) AS i FROM {IMPORTS})),
+      p AS (SELECT *, CAST(greatest(100 - least(15 * n_cycles, 40) - least(5 * n_gods, 25) - least(n_orphans // 25, 10) - least(3 * n_long, 15) - CASE WHEN avg_coupling > 10 THEN 15 WHEN avg_coupling > 5 THEN 7 ELSE 0 END, 0) AS INTEGER) AS score FROM c, g, o, f, k)
+    SELECT *, CASE WHEN score >= 90 THEN 'A' WHEN score >= 80 THEN 'B' WHEN score >= 70 THEN 'C' WHEN score >= 60 THEN 'D' ELSE 'F' END AS grade FROM p"""
+
+
+@query(_health_sql)
 def health_report(spark: SparkSession, sf: str) -> DataFrame:
     return graph_analytics.health_report(*_graph(spark, sf))
 
 
-@query(f"SELECT n.id, name, file_path, calls FROM {NODES} n JOIN (SELECT src AS id, CAST(count(*) AS BIGINT) AS calls FROM {CALLS} GROUP BY src) USING (id) WHERE calls >= 2")
+@query(f"SELECT n.id, name, file_path, calls FROM {NODES} n JOIN (SELECT src AS id, CAST(count(*) AS BIGINT) AS calls FROM {CALLS} GROUP BY src) USING (id) WHERE calls >= 1")
 def call_hubs(spark: SparkSession, sf: str) -> DataFrame:
-    return graph_analytics.call_hubs(*_graph(spark, sf), 2)
+    return graph_analytics.call_hubs(*_graph(spark, sf), 1)
 
 
 @query(f"SELECT file_path, count(*) AS imports FROM {IMPORTS} e JOIN {NODES} n ON n.id = e.src AND n.kind = 'module' GROUP BY file_path HAVING count(*) > 1")
@@ -544,6 +663,15 @@ def enclosing_definitions(spark: SparkSession, sf: str) -> DataFrame:
     return graph_analytics.enclosing_definition(p, table(spark, sf, "nodes"))
 
 
+@query()
+def explained(spark: SparkSession, sf: str) -> DataFrame:
+    """The context of a question: hits, callers, callees, community, hubs."""
+    from ..api import CodeIndex
+
+    x = index_of(spark, sf)
+    return CodeIndex(x["chunks"], x["vectors"], *_graph(spark, sf), words=x).explain(SEARCH_TEXT)
+
+
 @query(f"SELECT DISTINCT id FROM (SELECT 1 AS id UNION ALL SELECT src FROM {EDGES} WHERE dst = 1 UNION ALL SELECT dst FROM {EDGES} WHERE src = 1)")
 def neighbourhood(spark: SparkSession, sf: str) -> DataFrame:
     return graph_analytics.neighbourhood(table(spark, sf, "edges"), 1)
@@ -597,6 +725,45 @@ def change_counts(spark: SparkSession, sf: str) -> DataFrame:
     return upsert.change_counts(table(spark, sf, "change_feed"))
 
 
-@query()
+_LIVE_FILES = f"""WITH f AS {_FEED}, g AS (SELECT path, arg_max(op, (tm, seq)) AS op, max_by(tm, (tm, seq)) AS "at", max((tm, seq)) FILTER (WHERE op = 'delete') AS gone, max((tm, seq)) FILTER (WHERE content IS NOT NULL) AS fresh, arg_max(content, (tm, seq)) FILTER (WHERE content IS NOT NULL) AS content FROM f GROUP BY path)
+  SELECT path, md5(CASE WHEN gone IS NULL OR fresh > gone THEN content END) AS digest, "at" FROM g WHERE op <> 'delete'"""
+
+
+@query(_LIVE_FILES)
 def live_files(spark: SparkSession, sf: str) -> DataFrame:
     return upsert.live_content(table(spark, sf, "change_feed")).select("path", F.md5("content").alias("digest"), "at")
+
+
+@query(f"SELECT path, op, seq, md5(content) AS digest FROM {_FEED} QUALIFY row_number() OVER (PARTITION BY path ORDER BY tm DESC, seq DESC) = 1")
+def streamed_changes(spark: SparkSession, sf: str) -> DataFrame:
+    """The feed as a stream in micro-batches, its stored table read back: the same as the batch gives."""
+    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    table(spark, sf, "change_feed").repartitionByRange(4, "seq").write.parquet(f"{folder}/in")
+    upsert.upsert_stream(spark, f"{folder}/in", f"{folder}/t", f"{folder}/c", files=1).awaitTermination()
+    return upsert.stored_changes(spark, f"{folder}/t").select("path", "op", "seq", F.md5("content").alias("digest"))
+
+
+@query()
+def streamed_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    """The feed as a stream that re-chunks, re-embeds and re-links what changed; the chunks as they stand at the end."""
+    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    table(spark, sf, "change_feed").repartitionByRange(2, "seq").write.parquet(f"{folder}/in")
+    upsert.index_stream(spark, f"{folder}/in", folder, f"{folder}/c", files=1).awaitTermination()
+    return upsert.current(spark, folder, "chunks")
+
+
+@query(f"""WITH s AS (SELECT embedding_id, chunk_id, vec::DOUBLE[] AS v FROM (SELECT DISTINCT * FROM vectors WHERE len(vec) = 384)), u AS (SELECT embedding_id, list_transform(v, lambda x: x / sqrt(list_inner_product(v, v))) AS v FROM s WHERE list_inner_product(v, v) > 1e-16)
+  SELECT embedding_id, round(list_sum(list_transform(v, lambda x: x * x)), 6) AS squared, round(list_max(v), 6) AS most FROM u""")
+def normalized_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    """Unit vectors: their squared length, and their greatest entry."""
+    v = vector.usable(table(spark, sf, "vectors"), "vec", 384).withColumn("v", vector.normalize(vector.require_dimension(F.col("vec"), 384)))
+    return v.select("embedding_id", F.round(vector.dot(F.col("v"), F.col("v")), 6).alias("squared"), F.round(F.array_max("v"), 6).alias("most")).dropDuplicates(["embedding_id"])
+
+
+@query("""WITH t AS (SELECT path, CASE WHEN length(path) > 40 THEN '…/' || right(path, 40) ELSE path END AS short, array_to_string(string_split(path, '/')[-2:], '/') AS place, date_diff('second', created, TIMESTAMP '2030-01-01') AS s FROM (SELECT DISTINCT file_path AS path, to_timestamp(min(created_at) OVER (PARTITION BY file_path)) AT TIME ZONE 'UTC' AS created FROM chunks WHERE created_at IS NOT NULL))
+  SELECT path, short, place, CASE WHEN s < 60 THEN s || ' s ago' WHEN s < 3600 THEN (s // 60) || ' min ago' WHEN s < 86400 THEN (s // 3600) || ' h ago' ELSE (s // 86400) || ' d ago' END AS age FROM t""")
+def file_cards(spark: SparkSession, sf: str) -> DataFrame:
+    """How a file list shows each path and its age (at a fixed day)."""
+    f = table(spark, sf, "chunks").where("created_at is not null").groupBy(F.col("file_path").alias("path")).agg(F.min("created_at").alias("t"))
+    p = F.col("path")
+    return f.select("path", text.shorten_path(p, 40).alias("short"), text.last_two(p).alias("place"), text.ago(F.unix_timestamp(F.lit("2030-01-01 00:00:00")) - F.col("t")).alias("age"))

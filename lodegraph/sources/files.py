@@ -54,16 +54,20 @@ def log_lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=False).select(F.monotonically_increasing_id().alias("pos"), F.col("value").alias("line"))
 
 
-INDEX_TABLES = ("chunks", "postings", "term_df", "doc_len", "corpus_stats", "vectors", "nodes", "edges", "index_meta")
+INDEX_TABLES = ("chunks", "postings", "term_df", "doc_len", "corpus_stats", "cells", "vectors", "nodes", "edges", "index_meta")
 
 
 def save_index(tables: dict[str, DataFrame], folder: str) -> None:
-    """Writes an index's tables. Postings are sorted by term within files, so a query reads only the files that hold its terms."""
+    """Writes an index's tables. Postings and frequencies are sorted by term, vectors by cell, so a query reads only the
+    row groups that hold its own. Ranges run over the id too: a term or cell with a third of all rows is many files."""
     for name, df in tables.items():
         if name not in INDEX_TABLES:
             raise ValueError(f"no table of an index: {name}")
-        if name == "postings":
-            df = df.repartitionByRange("term").sortWithinPartitions("term")
+        keys = {"postings": ("term",), "term_df": ("term",), "vectors": ("cell",), "chunks": ("id",)}.get(name, ())
+        keys = [k for k in keys if k in df.columns]
+        if keys:
+            rest = [c for c in ("chunk_id", "record_id", "doc_id") if c in df.columns]
+            df = df.repartitionByRange(*keys, *rest).sortWithinPartitions(*keys, *rest)
         df.write.mode("overwrite").parquet(f"{folder}/{name}")
 
 
@@ -79,6 +83,17 @@ def load_index(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     return out
 
 
+def disk_statistics(spark: SparkSession, folder: str) -> DataFrame:
+    """(table, n_files, bytes, size) of a stored index, and a row for all of it, from the listing alone."""
+    f = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path", "length")
+    inside = F.substr("path", F.lit(0) + F.instr("path", folder.rstrip("/").split("/")[-1] + "/") + len(folder.rstrip("/").split("/")[-1]) + 1)
+    t = f.select(F.substring_index(inside, "/", 1).alias("table"), "length")
+    g = t.rollup("table").agg(F.count("*").alias("n_files"), F.coalesce(F.sum("length"), F.lit(0)).alias("bytes"))
+    b = F.col("bytes")
+    size = F.coalesce(*(F.when(b >= n, F.concat(F.format_number(b / n, 1), F.lit(f" {u}"))) for u, n in (("GB", 1e9), ("MB", 1e6), ("KB", 1e3))), F.concat(b.cast("string"), F.lit(" B")))
+    return g.select(F.coalesce("table", F.lit("total")).alias("table"), "n_files", "bytes", size.alias("size"))
+
+
 def graph_rows(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The graph as JSON lines for a viewer: one row a node, one a link."""
     n = nodes.select(F.to_json(F.struct("id", "name", "kind", "file_path", "line_start", "line_end")).alias("node"))
@@ -114,7 +129,7 @@ def report(gods: DataFrame, listing: DataFrame, surprises: DataFrame) -> str:
     out = ["# Code graph report", "", "## Most connected", ""]
     out += [f"{i}. `{r['name']}` ({r['kind']}) — {r['degree']} calls — {r['file_path']}" for i, r in enumerate(gods.collect(), 1)]
     out += ["", "## Communities", ""]
-    out += [f"- {r['community']}: {r['size']} nodes, mostly {r['file_path'] or 'modules'}" for r in listing.collect()]
+    out += [f"- {r['community']}: {r['size']} nodes, mostly {r['file_path'] or 'modules'}" + (f": {r['members']}" if r["members"] else "") for r in listing.collect()]
     out += ["", "## Links between communities", ""]
     out += [f"- {r['src']} → {r['dst']} ({r['bridges']} between {r['lo']} and {r['hi']})" for r in surprises.collect()]
     return "\n".join(out) + "\n"

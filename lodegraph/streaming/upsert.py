@@ -11,7 +11,11 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import hashing
+from ..functions.languages import language_of
 from ..functions.text import clean_path
+from ..operators import chunking, graph_build
+from ..session import cut
 
 FEED = "seq long, path string, op string, content string, ts timestamp, received_at timestamp"
 
@@ -57,25 +61,65 @@ def apply_changes(current: DataFrame | None, batch: DataFrame) -> DataFrame:
     return both.groupBy("path").agg(last).select("path", "l.op", "l.content", "l.at", "l.seq")
 
 
-def upsert_stream(spark: SparkSession, source: str, table: str, checkpoint: str, on_batch: Callable[[DataFrame, int], None] | None = None, every: str | None = None):
-    """A streaming query that keeps ``table`` (Parquet, one folder a version) up with the change files in ``source``.
+def stored_changes(spark: SparkSession, table: str) -> DataFrame:
+    """(path, op, content, at, seq, v): the newest state of every path in a stored table of changes, with the batch it came in.
 
-    Each micro-batch merges into the newest version and writes the next one under its batch number: a replayed batch
-    writes the same version again. ``on_batch`` gets the batch's latest changes, to re-chunk or re-embed their files.
+    The table is a list of batches (``v=N``), each with its own last change a path; a reader takes the newest of a path.
     """
-    feed = spark.readStream.schema(FEED).parquet(source)
+    last = F.max(F.struct("at", "seq", "op", "content", "v")).alias("l")
+    return spark.read.parquet(table).groupBy("path").agg(last).select("path", "l.op", "l.content", "l.at", "l.seq", "l.v")
+
+
+def upsert_stream(spark: SparkSession, source: str, table: str, checkpoint: str, on_batch: Callable[[DataFrame, int], None] | None = None, every: str | None = None, files: int | None = None):
+    """A streaming query that keeps ``table`` (Parquet, one folder a batch) up with the change files in ``source``.
+
+    A batch adds its own last changes only, so its cost is its size, not the table's; a replayed batch writes the same
+    folder again. ``compact`` folds the folders together. ``on_batch`` gets the batch's latest changes, to re-chunk or
+    re-embed their files. ``every``: the interval between batches; without one all that is there is read, then it ends.
+    """
+    reader = spark.readStream.schema(FEED)
+    feed = (reader.option("maxFilesPerTrigger", files) if files else reader).parquet(source)
 
     def merge(batch: DataFrame, number: int) -> None:
-        before = f"{table}/v={number - 1}"
-        current = spark.read.parquet(before) if number > 0 else None
-        apply_changes(current, batch).write.mode("overwrite").parquet(f"{table}/v={number}")
+        new = cut(latest(batch))
+        new.write.mode("overwrite").parquet(f"{table}/v={number}")
         if on_batch:
-            on_batch(latest(batch), number)
+            on_batch(new, number)
 
     w = feed.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
     return (w.trigger(processingTime=every) if every else w.trigger(availableNow=True)).start()
 
 
+def compact(spark: SparkSession, table: str, into: str) -> None:
+    """The newest state of every path as a table of one folder, at the place ``into``. Deleted paths stay as marks, so a late
+    row cannot revive them. The old table is left for those who read it; switching over is the caller's step."""
+    now = stored_changes(spark, table)
+    v = now.agg(F.max("v")).first()[0] or 0
+    now.drop("v").write.mode("overwrite").parquet(f"{into}/v={v}")
+
+
+def index_stream(spark: SparkSession, source: str, folder: str, checkpoint: str, every: str | None = None, files: int | None = None):
+    """As ``upsert_stream``, with the index of the changed files: their chunks, hash embeddings (sparse), nodes and edges are
+    made anew batch by batch, in tables of the same form beside ``changes``. ``current`` reads them."""
+
+    def refresh(new: DataFrame, number: int) -> None:
+        f = new.where("op <> 'delete' and content is not null").select("path", language_of(F.col("path")).alias("language"), "content").where("language is not null")
+        chunks = cut(chunking.with_ids(chunking.chunk_files(f)))
+        nodes, edges = graph_build.build_graph(f)
+        path = nodes.select(F.col("id").alias("src"), F.col("file_path").alias("path"))
+        parts = {"chunks": chunks, "embeddings": hashing.sparse_embedding(chunks, "id", "content").join(chunks.select("id", "path").distinct(), "id"), "nodes": nodes.withColumn("path", F.col("file_path")), "edges": edges.join(path, "src")}
+        for name, df in parts.items():
+            df.write.mode("overwrite").parquet(f"{folder}/{name}/v={number}")
+
+    return upsert_stream(spark, source, f"{folder}/changes", checkpoint, refresh, every, files)
+
+
+def current(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A table of ``index_stream`` as it stands: of every path the rows of the batch that brought its newest change."""
+    live = stored_changes(spark, f"{folder}/changes").where("op <> 'delete'").select("path", "v")
+    return spark.read.parquet(f"{folder}/{name}").join(live, ["path", "v"], "left_semi").drop("v")
+
+
 def change_counts(feed: DataFrame, window: str = "1 hour", late: str = "2 hours") -> DataFrame:
     """Changes by operation in tumbling windows of event time; works on streams (late rows beyond ``late`` are dropped there)."""
     f = feed.where("ts is not null").withColumn("op", clean_op(F.col("op")))

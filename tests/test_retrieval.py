@@ -99,3 +99,46 @@ def test_recall(spark):
     a = spark.createDataFrame([(1, 1), (1, 2)], "query_id int, id long")
     e = spark.createDataFrame([(1, 1), (1, 3)], "query_id int, id long")
     assert tuple(vector.recall(a, e, "id", 2).collect()[0]) == (0.5, 0.5, 0.5)
+
+
+def test_stored_index_answers_as_a_scan(spark, tmp_path):
+    from lodegraph.operators import stored
+    from lodegraph.sources import files
+
+    texts = {i: " ".join(w for w, n in (("ledger", i % 3), ("socket", i % 5), ("retry", i % 2)) for _ in range(n)) for i in range(40)}
+    chunks = spark.createDataFrame([(i, f"/r/{i % 4}.rs", i, i + 1, "rs", "Function", t) for i, t in texts.items() for _ in range(1 + (i % 7 == 0))], "id long, file_path string, line_start int, line_end int, language string, chunk_type string, content string")
+    rng = random.Random(2)
+    vectors = spark.createDataFrame([(i, i, [rng.gauss(0, 1) for _ in range(384)]) for i in texts] + [(90, 90, None), (91, 91, [0.0] * 384)], "embedding_id long, chunk_id long, vec array<float>")
+    files.save_index(stored.build_index(chunks, vectors), str(tmp_path))
+    index = files.load_index(spark, str(tmp_path))
+    for q in ("ledger retry", "socket", "the", "unheard"):
+        a = bm25.search_index(index, q, "chunk_id", 10).collect()
+        b = bm25.top(bm25.score_scan(chunks.withColumnRenamed("id", "chunk_id"), "chunk_id", "content", q), "chunk_id", 10).collect()
+        assert a == b
+        one, two = fusion.search_index(index, q).select("chunk_id", "score", "signal"), fusion.search(chunks, vectors, q).select("chunk_id", "score", "signal")
+        assert one.collect() == two.collect()
+    plan = bm25.search_index(index, "ledger retry", "chunk_id", 10)._jdf.queryExecution().executedPlan().toString()
+    assert "In(term" in plan and "content" not in plan
+
+
+def test_cells_and_blocks(spark):
+    import numpy as np
+
+    from lodegraph.operators import stored  # noqa: F401
+
+    rng = np.random.default_rng(5)
+    middle = rng.normal(size=(12, 16))
+    m = np.concatenate([c + 0.3 * rng.normal(size=(40, 16)) for c in middle])
+    d = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)] + [(900, None), (901, [0.0] * 16), (902, [1.0])], "id long, v array<float>")
+    centres = vector.fit_cells(d, "id", "v", 16)
+    cells = spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(centres)], "cell int, centre array<double>")
+    stored_rows = vector.in_cells(d, "id", "v", centres)
+    assert stored_rows.select("id").distinct().count() == 480
+    q = d.where("id % 50 = 0 and size(v) = 16")
+    exact = vector.nearest_in_blocks(d, "id", "v", q, "id", "v", 10, block=3)
+    assert exact.groupBy("query_id").count().where("count = 10").count() == 10
+    got = vector.probe_in_cells(stored_rows, cells, "id", q, "id", "v", 10, probes=4)
+    assert vector.recall(got, exact, "id").collect()[0]["mean"] >= 0.9
+    one = q.first()
+    few = vector.search_cells(stored_rows, cells, "id", [(one["id"], list(one["v"]))], 10, probes=22)
+    assert [r["id"] for r in few.orderBy("rank").collect()] == [r["id"] for r in exact.where(f"query_id = {one['id']}").orderBy("rank").collect()]

@@ -57,5 +57,28 @@ def test_stream_equals_batch(spark, tmp_path):
     upsert.upsert_stream(spark, src, str(tmp_path / "t"), str(tmp_path / "c"), lambda d, n: seen.append(n)).awaitTermination()
     f.where("seq > 2").coalesce(1).write.mode("append").parquet(src)
     upsert.upsert_stream(spark, src, str(tmp_path / "t"), str(tmp_path / "c"), lambda d, n: seen.append(n)).awaitTermination()
-    last = spark.read.parquet(str(tmp_path / f"t/v={max(seen)}"))
+    last = upsert.stored_changes(spark, str(tmp_path / "t"))
+    upsert.compact(spark, str(tmp_path / "t"), str(tmp_path / "t2"))
+    assert sorted(map(tuple, upsert.stored_changes(spark, str(tmp_path / "t2")).drop("v").collect())) == sorted(map(tuple, last.drop("v").collect()))
     assert sorted(map(tuple, last.select("path", "op", "seq").collect())) == sorted(map(tuple, upsert.latest(f).select("path", "op", "seq").collect()))
+
+
+def test_index_stream(spark, tmp_path):
+    one = "def alpha():\n    return beta(1)\n\n\ndef beta(x):\n    return x + 1\n"
+    rows = [(1, "/r/a.py", "create", one, ts(1), ts(1)), (2, "/r/b.py", "create", one.replace("alpha", "gamma"), ts(1), ts(1)), (3, "/r/a.py", "modify", one.replace("alpha", "delta"), ts(3), ts(3)), (4, "/r/b.py", "delete", None, ts(4), ts(4)), (5, "/r/a.py", "modify", "late = 1 + 2 + 3\n", ts(2), ts(9))]
+    f = spark.createDataFrame(rows, upsert.FEED)
+    for lo, hi in ((1, 2), (3, 4), (5, 5)):
+        f.where(f"seq between {lo} and {hi}").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        upsert.index_stream(spark, str(tmp_path / "in"), str(tmp_path / "x"), str(tmp_path / "c")).awaitTermination()
+    chunks = upsert.current(spark, str(tmp_path / "x"), "chunks").collect()
+    assert {r["path"] for r in chunks} == {"/r/a.py"} and any("delta" in r["content"] for r in chunks) and not any("late" in r["content"] or "alpha" in r["content"] for r in chunks)
+    assert {r["name"] for r in upsert.current(spark, str(tmp_path / "x"), "nodes").collect()} == {"a", "delta", "beta"}
+    ids = {r["id"] for r in chunks}
+    assert {r["id"] for r in upsert.current(spark, str(tmp_path / "x"), "embeddings").collect()} == ids
+    assert upsert.current(spark, str(tmp_path / "x"), "edges").where("kind = 'calls'").count() == 1
+
+
+def test_disk_statistics(spark, tmp_path):
+    spark.range(10).coalesce(1).write.parquet(str(tmp_path / "i/chunks"))
+    rows = {r["table"]: r for r in files.disk_statistics(spark, str(tmp_path / "i")).collect()}
+    assert rows["total"]["bytes"] >= rows["chunks"]["bytes"] > 0 and rows["chunks"]["size"].endswith(("KB", " B"))

@@ -48,9 +48,9 @@ def test_lines(spark, given, expected):
 
 
 def test_snippet(spark):
-    body = "\n".join(f"line {i}" if i != 7 else "the needle" for i in range(20))
-    got = one(spark, body, lambda c: text.snippet(c, ["needle"]))
-    assert "the needle" in got and got.endswith("\n  ...") and len(got.splitlines()) == 7
+    body = "\n".join(f"line {i}" if i != 7 else "the keyword" for i in range(20))
+    got = one(spark, body, lambda c: text.snippet(c, ["keyword"]))
+    assert "the keyword" in got and got.endswith("\n  ...") and len(got.splitlines()) == 7
     assert one(spark, "x\ny", lambda c: text.snippet(c, ["z"])) == "x\ny"
 
 
