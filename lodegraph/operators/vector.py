@@ -65,16 +65,10 @@ def nearest(df: DataFrame, record_id: str, vec: str, queries: list[tuple[int, li
                 continue
             ids = b.column("id").to_numpy(zero_copy_only=False)[rows]
             s = np.round(m @ qv.T, 6)
+            once = len(np.unique(ids)) == len(ids)
             for j in range(len(qid)):
-                i, x = ids, s[:, j]
-                if len(x) > k:
-                    ok = x >= np.partition(x, len(x) - k)[len(x) - k]
-                    i, x = i[ok], x[ok]
-                i, x = np.concatenate([best[j][0], i]), np.concatenate([best[j][1], x])
-                o = np.lexsort((i, -x))
-                i, x = i[o], x[o]
-                new = np.r_[True, (np.diff(i) != 0) | (np.diff(x) != 0)] if len(i) else np.empty(0, bool)
-                best[j] = i[new][:k], x[new][:k]
+                i, x = best_of(ids, s[:, j], k, once)
+                best[j] = best_of(np.concatenate([best[j][0], i]), np.concatenate([best[j][1], x]), k, False)
         n = [len(i) for i, _ in best]
         if sum(n):
             yield pa.record_batch([pa.array(np.repeat(qid, n)), pa.array(np.concatenate([i for i, _ in best])), pa.array(np.concatenate([x for _, x in best]))], ["query_id", "id", "score"])
@@ -86,6 +80,17 @@ def nearest(df: DataFrame, record_id: str, vec: str, queries: list[tuple[int, li
     return r.select("query_id", F.col("id").alias(record_id), "score", "rank")
 
 
+def best_of(ids: np.ndarray, scores: np.ndarray, k: int, once: bool) -> tuple[np.ndarray, np.ndarray]:
+    """The ``k`` best, equal scores by id, a repeated id and score once. ``once``: no id is repeated."""
+    if once and len(scores) > k:
+        ok = scores >= np.partition(scores, len(scores) - k)[len(scores) - k]
+        ids, scores = ids[ok], scores[ok]
+    o = np.lexsort((ids, -scores))
+    ids, scores = ids[o], scores[o]
+    new = np.r_[True, (np.diff(ids) != 0) | (np.diff(scores) != 0)] if len(ids) else np.empty(0, bool)
+    return ids[new][:k], scores[new][:k]
+
+
 def nearest_in_blocks(df: DataFrame, record_id: str, vec: str, queries: DataFrame, query_id: str, query_vec: str, k: int, block: int = 2048) -> DataFrame:
     """As ``nearest`` for a table of queries of any size: ``block`` of them at a time come to the driver, and each block
     is one pass over all rows, written to the shared folder before the next begins."""
@@ -199,11 +204,12 @@ def probe_in_cells(stored: DataFrame, centres: DataFrame, record_id: str, querie
         vr, v = matrix_of(right.column("vec").combine_chunks(), dim)
         qid, vid = left.column("query_id").to_numpy()[qr], right.column(record_id).to_numpy()[vr]
         out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        once = len(np.unique(vid)) == len(vid)
         for i in range(0, len(q), 256):
             s = np.round(q[i : i + 256] @ v.T, 6)
             for j in range(len(s)):
-                o = np.lexsort((vid, -s[j]))[:k]
-                out.append((np.full(len(o), qid[i + j]), vid[o], s[j][o]))
+                ids, x = best_of(vid, s[j], k, once)
+                out.append((np.full(len(ids), qid[i + j]), ids, x))
         a, b, x = (np.concatenate(z) for z in zip(*out)) if out else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
         return pa.table({"query_id": a, "id": b, "score": x})
 
