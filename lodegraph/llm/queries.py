@@ -79,9 +79,12 @@ def p8_found(spark: SparkSession, sf: str) -> DataFrame:
     return subjects.document_subjects(table(spark, sf, "documents"), table(spark, sf, "subjects"), table(spark, sf, "subject_labels")).select("doc_id", "subject")
 
 
+def p8_mixtures(spark: SparkSession, sf: str) -> DataFrame:
+    return subjects.document_subjects(table(spark, sf, "documents"), table(spark, sf, "subjects"), table(spark, sf, "subject_labels"))
+
+
 def p8_composition(spark: SparkSession, sf: str) -> DataFrame:
-    d = subjects.document_subjects(table(spark, sf, "documents"), table(spark, sf, "subjects"), table(spark, sf, "subject_labels"))
-    return d.groupBy("subject").agg(F.count("*").alias("n_documents"), F.sum("n_sentences").alias("n_sentences"))
+    return subjects.composition(p8_mixtures(spark, sf))
 
 
 def queries() -> dict[str, Query]:
@@ -93,7 +96,7 @@ def queries() -> dict[str, Query]:
         "p5_found": p5_found, "p5_pairs": p5_pairs,
         "p6_found": p6_found, "p6_leaks": p6_leaks,
         "p7_mix_report": p7_mix_report, "p7_mix_documents": p7_mix_documents,
-        "p8_found": p8_found, "p8_composition": p8_composition,
+        "p8_found": p8_found, "p8_mixtures": p8_mixtures, "p8_composition": p8_composition,
     }
 
 

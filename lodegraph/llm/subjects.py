@@ -3,11 +3,14 @@
 V (documents x terms, prose only) is factored into W (documents x components) and H (components x terms) by alternating
 multiplicative updates under the Kullback-Leibler divergence. One component is anchored to each subject: it starts from
 the terms that labelled documents and the subject's description favour; free components take up what belongs to no
-subject. In every round the workers solve W for their documents with H fixed and add up their share of the next H, so
-documents never leave their partition and the driver holds nothing but H, whose size the vocabulary rule bounds.
+subject. The documents are encoded once (term numbers and counts) and written to the shared folder. In every round the
+workers solve W for their documents with H fixed and add up their share of the next H, so documents never leave their
+partition and the driver holds nothing but H, whose size ``MAX_TERMS`` bounds.
 
-A term speaks for a subject by the anchored component's share in it. A sentence deals with a subject when at least two
-different terms in it do; a document has the subject when at least three of its sentences deal with it.
+The result is read from W, solved once more with the final H: a document's mixture is its components' share of its terms,
+and a term of the document belongs to a component by its posterior in that mixture, w h / sum(w h). Subjects with enough
+of a document's terms (``LEAST_MASS``) are its candidates; such a subject counts if three of the document's sentences deal
+with it, each through two different terms that belong to it.
 
 Defined results
 * null, blank and code-only texts have no subject; rows whose doc_id is null are left out; repeated rows count once.
@@ -24,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,10 +36,14 @@ from ..session import cut
 #: Components without a subject; rounds; inner updates of W a round; terms must occur in so many documents and such a share.
 FREE, ROUNDS, INNER = 8, 12, 8
 MIN_DF, MIN_DF_SHARE = 3, 1e-5
+#: Terms of a language at most, the most frequent first: H has so many columns a language, 4 bytes a component in each.
+MAX_TERMS = 200_000
 #: At most so many labelled documents seed the factorisation (drawn by hash); everything else covers all documents.
 MAX_LABELLED = 100_000
-#: A term speaks for a subject from this share on; terms that a sentence needs, sentences that a document needs.
+#: A term of a document belongs to a subject from this posterior on; terms that a sentence needs, sentences that a document needs.
 TERM_SHARE, TERMS_IN_SENTENCE, SENTENCES = 0.3, 2, 3
+#: Terms of a document (repeats damped) that its mixture must give a subject.
+LEAST_MASS = 1.5
 
 _TERM = re.compile(r"[^\W\d_]{3,}")
 _COMMENT = re.compile(r"^[ \t]*(?://[/!]?|/\*+|\*+/?|\#+(?=\s)|--(?=\s)|;+(?=\s)|<!--|>+|[-*+•](?=\s))[ \t]?")
@@ -120,33 +128,27 @@ def by_language(sents: list[str]) -> list[str]:
 # --- factorisation, pure numpy -----------------------------------------------------------------------------------
 
 
-def solve_w(rows: np.ndarray, cols: np.ndarray, vals: np.ndarray, n: int, h: np.ndarray, inner: int = INNER, mask: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """W for ``n`` documents given H, and V / WH at the entries. ``mask``: components a document may use."""
-    k = len(h)
-    w = np.full((n, k), 1.0 / k) if mask is None else mask / mask.sum(1, keepdims=True)
-    hc = h[:, cols].T
-    size = np.maximum(np.bincount(rows, vals, n), 1e-12)
-    starts = np.flatnonzero(np.r_[True, np.diff(rows) > 0]) if len(rows) else np.empty(0, int)
-    ratio = np.zeros(len(rows))
+def solve_w(starts: np.ndarray, cols: np.ndarray, vals: np.ndarray, h: np.ndarray, inner: int = INNER) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """W for documents given H (terms x components), whose entries begin at ``starts`` (each has one at least); the entries'
+    numbers of documents; and their parts w h, which divided by their sums are the posteriors of the components."""
+    size = np.diff(np.append(starts, len(cols)))
+    rows = np.repeat(np.arange(len(starts)), size)
+    w = np.full((len(starts), h.shape[1]), 1.0 / h.shape[1], h.dtype)
+    hc = h[cols]
+    total = np.maximum(np.add.reduceat(vals, starts), 1e-12)[:, None]
     for _ in range(inner):
-        ratio = vals / np.maximum((w[rows] * hc).sum(1), 1e-12)
-        if len(starts):
-            up = np.add.reduceat(ratio[:, None] * hc, starts, axis=0)
-            present = rows[starts]
-            w[present] *= up / size[present, None]
-    return w, ratio
-
-
-def h_share(rows, cols, vals, n, h, mask=None) -> np.ndarray:
-    """What these documents add to the next H (before it is scaled)."""
-    w, _ = solve_w(rows, cols, vals, n, h, INNER, mask)
-    hc = h[:, cols].T
-    ratio = vals / np.maximum((w[rows] * hc).sum(1), 1e-12)
-    part = (ratio[:, None] * w[rows] * hc).T
-    out = np.zeros_like(h)
-    for i in range(len(h)):
-        out[i] = np.bincount(cols, part[i], h.shape[1])
-    return out
+        ratio = vals / np.maximum(np.einsum("ij,ij->i", w[rows], hc), 1e-30)
+        w *= np.add.reduceat(ratio[:, None] * hc, starts, axis=0) / total
+    return w, rows, w[rows] * hc
+
+
+def h_share(starts: np.ndarray, cols: np.ndarray, vals: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What these documents add to the next H (before it is scaled): terms, and a row of components for each."""
+    _, _, part = solve_w(starts, cols, vals, h)
+    part *= (vals / np.maximum(part.sum(1), 1e-30))[:, None]
+    order = np.argsort(cols, kind="stable")
+    first = np.flatnonzero(np.r_[True, np.diff(cols[order]) > 0])
+    return cols[order][first], np.add.reduceat(part[order].astype(np.float64), first, axis=0)
 
 
 def seed_h(df: np.ndarray, n_docs: float, by_subject: np.ndarray, labelled: np.ndarray, described: np.ndarray, free: int = FREE) -> np.ndarray:
@@ -179,12 +181,6 @@ def seed_h(df: np.ndarray, n_docs: float, by_subject: np.ndarray, labelled: np.n
     return h / np.maximum(h.sum(1, keepdims=True), 1e-300)
 
 
-def term_shares(h: np.ndarray, weight: np.ndarray, n_subjects: int) -> np.ndarray:
-    """P(component | term) of the anchored components, each component weighted by its mass in the corpus."""
-    joint = h * weight[:, None]
-    return (joint / np.maximum(joint.sum(0), 1e-300))[:n_subjects]
-
-
 # --- DataFrame operators -----------------------------------------------------------------------------------------
 
 
@@ -207,18 +203,52 @@ def clean_labels(labels: DataFrame, subjects: list[str]) -> DataFrame:
     return c.join(t, "doc_id").select("doc_id", "subject", (F.col("count") / F.col("n")).alias("weight"))
 
 
+class Vocabulary:
+    """The numbers of each language's terms, the languages one after the other."""
+
+    def __init__(self, words: dict[str, list[str]]) -> None:
+        self.words = words
+        self.look: dict[str, dict[str, int]] = {}
+        self.span: dict[str, tuple[int, int]] = {}
+        at = 0
+        for lang, ws in words.items():
+            self.look[lang] = {w: at + i for i, w in enumerate(ws)}
+            self.span[lang] = at, at + len(ws)
+            at += len(ws)
+        self.size = at
+
+    def encode(self, docs) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, sentence, term) of every known term of a batch of documents. A document's part in one language is a row of
+        the matrix: row = document * languages + language."""
+        rows: list[int] = []
+        sents: list[int] = []
+        cols: list[int] = []
+        number = {lang: i for i, lang in enumerate(self.look)}
+        for i, ss in enumerate(docs):
+            for j, s in enumerate(ss):
+                lang, _, text = s.partition("|")
+                look = self.look.get(lang)
+                if look:
+                    c = [x for x in map(look.get, text.split(" ")) if x is not None]
+                    cols += c
+                    rows += [i * len(number) + number[lang]] * len(c)
+                    sents += [j] * len(c)
+        return np.array(rows, np.int64), np.array(sents, np.int64), np.array(cols, np.int64)
+
+    def matrix(self, rows: np.ndarray, cols: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The distinct (row, term) of what ``encode`` gives: rows, their starts, terms, sentences that hold each, and for
+        every incidence its entry."""
+        code, back, count = np.unique(rows * max(1, self.size) + cols, return_inverse=True, return_counts=True)
+        r, c = code // max(1, self.size), code % max(1, self.size)
+        starts = np.flatnonzero(np.r_[True, np.diff(r) > 0]) if len(r) else np.empty(0, int)
+        return r[starts], starts, c, count, back
+
+
 class Model:
-    """Each language's vocabulary with its terms' shares, a few MB at most by the vocabulary rule."""
+    """The vocabulary and the final H, terms x components, in single precision."""
 
-    def __init__(self, subjects: list[str], parts: dict[str, tuple[list[str], np.ndarray]]) -> None:
-        self.subjects, self.parts = subjects, parts
-        self.speaks: dict[str, dict[str, tuple[int, ...]]] = {}
-        for lang, (vocabulary, shares) in parts.items():
-            by = self.speaks[lang] = {}
-            for j, w in enumerate(vocabulary):
-                k = tuple(np.flatnonzero(shares[:, j] >= TERM_SHARE).tolist())
-                if k:
-                    by[w] = k
+    def __init__(self, subjects: list[str], vocabulary: Vocabulary, h: np.ndarray) -> None:
+        self.subjects, self.vocabulary, self.h = subjects, vocabulary, h
 
 
 def _bag(docs: DataFrame) -> DataFrame:
@@ -235,15 +265,18 @@ def fit(docs: DataFrame, subjects: DataFrame, labels: DataFrame, rounds: int = R
     at = {s: i for i, s in enumerate(names)}
     rows = docs.select("doc_id", F.explode("sentences").alias("s")).select("doc_id", F.substring_index("s", "|", 1).alias("lang"))
     n_docs = {r[0]: r[1] for r in rows.groupBy("lang").agg(F.count_distinct("doc_id")).collect()}
-    least = max(MIN_DF, int(np.ceil(MIN_DF_SHARE * max(n_docs.values(), default=0))))
-    bag = _bag(docs)
-    words: dict[str, list[str]] = defaultdict(list)
-    counts: dict[str, list[float]] = defaultdict(list)
-    for r in bag.groupBy("lang", "term").count().where(F.col("count") >= least).orderBy("lang", "term").toLocalIterator():
-        words[r["lang"]].append(r["term"])
-        counts[r["lang"]].append(float(r["count"]))
+    bag = cut(_bag(docs).groupBy("lang", "term").count())
+    words: dict[str, list[str]] = {}
+    counts: dict[str, list[float]] = {}
+    for lang in sorted(n_docs):  # the least frequency is a share of the language's own documents
+        least = max(MIN_DF, int(np.ceil(MIN_DF_SHARE * n_docs[lang])))
+        known = bag.where((F.col("lang") == lang) & (F.col("count") >= least)).orderBy(F.desc("count"), "term").limit(MAX_TERMS)
+        got = sorted((r["term"], float(r["count"])) for r in known.toLocalIterator())
+        if got:
+            words[lang], counts[lang] = [t for t, _ in got], [c for _, c in got]
+    vocabulary = Vocabulary(words)
     if not words or not names:
-        return Model(names, {})
+        return Model([], vocabulary, np.zeros((0, 0), np.float32))
     look = {lang: {w: i for i, w in enumerate(ws)} for lang, ws in words.items()}
     lab = clean_labels(labels, names)
     keep = lab.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_LABELLED)
@@ -268,34 +301,50 @@ def fit(docs: DataFrame, subjects: DataFrame, labels: DataFrame, rounds: int = R
     seeded = {lang: np.array([totals.get((lang, s), 0.0) > 0 or bool(d) for s, d in zip(names, _described(names, named, look[lang]))]) for lang in words}
     for lang in h:
         h[lang][: len(names)][~seeded[lang]] = 0.0
-    weight = {lang: np.ones(len(x)) for lang, x in h.items()}
-    index = spark.sparkContext.broadcast(look)
+    index = spark.sparkContext.broadcast(vocabulary)
+
+    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        v = index.value
+        for b in batches:
+            r, _, c = v.encode(b["sentences"])
+            _, starts, c, n, _ = v.matrix(r, c)
+            ends = np.append(starts[1:], len(c))
+            yield pd.DataFrame({"cols": [c[s:e].astype(np.int32) for s, e in zip(starts, ends)], "n": [n[s:e].astype(np.int32) for s, e in zip(starts, ends)]})
+
+    coded = cut(docs.mapInPandas(encode, "cols array<int>, n array<int>"))
+    k = len(names) + free
     for _ in range(rounds):
-        now = spark.sparkContext.broadcast(h)
+        now = spark.sparkContext.broadcast(_stack(h, vocabulary))
 
-        def share(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def share(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             hh = now.value
-            total = {lang: np.zeros_like(x) for lang, x in hh.items()}
+            total = np.zeros(hh.shape)
             for b in batches:
-                for lang, x in hh.items():
-                    r, c, v = sparse(b["sentences"], lang, index.value[lang].get)
-                    if len(r):
-                        total[lang] += h_share(r, c, v, len(b), x)
-            for lang, t in total.items():
-                used = np.flatnonzero(t.sum(0) > 0)
-                if not len(used):
-                    continue
-                yield pd.DataFrame({"lang": [lang] * len(used), "term": used, "parts": [t[:, j] for j in used]})
-
-        k = len(names) + free
-        got = docs.mapInPandas(share, "lang string, term int, parts array<double>").groupBy("lang", "term").agg(F.array(*(F.sum(F.col("parts")[i]) for i in range(k))).alias("p"))
-        new = {lang: np.zeros_like(x) for lang, x in h.items()}
+                for lo in range(0, b.num_rows, 2048):
+                    part = b.slice(lo, 2048)
+                    at = part.column("cols").offsets.to_numpy().astype(np.int64)
+                    cols, n = part.column("cols").flatten().to_numpy(), part.column("n").flatten().to_numpy()
+                    if len(cols):
+                        t, x = h_share(at[:-1] - at[0], cols, np.sqrt(n).astype(np.float32), hh)
+                        total[t] += x
+            used = np.flatnonzero(total.any(1))
+            if len(used):
+                yield pa.record_batch([pa.array(used.astype(np.int32)), pa.FixedSizeListArray.from_arrays(pa.array(total[used].ravel()), hh.shape[1]).cast(pa.list_(pa.float64()))], ["term", "parts"])
+
+        got = coded.mapInArrow(share, "term int, parts array<double>").groupBy("term").agg(F.array(*(F.sum(F.col("parts")[i]) for i in range(k))).alias("p"))
+        new = np.zeros((vocabulary.size, k))
         for r in got.toLocalIterator():
-            new[r["lang"]][:, r["term"]] += r["p"]
-        for lang, x in new.items():
-            h[lang], weight[lang] = rescale(x, anchors[lang], seeded[lang])
+            new[r["term"]] = r["p"]
+        for lang in h:
+            a, b = vocabulary.span[lang]
+            h[lang], _ = rescale(new[a:b].T, anchors[lang], seeded[lang])
         now.unpersist()
-    return Model(names, {lang: (ws, term_shares(h[lang], weight[lang], len(names))) for lang, ws in words.items()})
+    return Model(names, vocabulary, _stack(h, vocabulary))
+
+
+def _stack(h: dict[str, np.ndarray], v: Vocabulary) -> np.ndarray:
+    """All languages' H, terms x components."""
+    return np.concatenate([h[lang].T for lang in v.words]).astype(np.float32)
 
 
 def _described(names: list[str], named: list[tuple[str, str]], look: dict[str, int]) -> list[bool]:
@@ -316,51 +365,57 @@ def rescale(new: np.ndarray, anchor: np.ndarray, seeded: np.ndarray) -> tuple[np
     return h, weight
 
 
-def sparse(docs, lang: str, look) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rows, columns and values (sentences that hold the term, damped) of one language's sentences in a batch of documents."""
-    rows: list[int] = []
-    cols: list[int] = []
-    vals: list[float] = []
-    head = lang + "|"
-    for i, sents in enumerate(docs):
-        c = Counter(j for s in sents if s.startswith(head) for w in s[len(head) :].split(" ") if (j := look(w)) is not None)
-        rows += [i] * len(c)
-        cols += c.keys()
-        vals += c.values()
-    return np.array(rows, int), np.array(cols, int), np.sqrt(np.array(vals, float))
-
-
-def sentence_counts(sents, model: Model) -> dict[int, int]:
-    """Sentences of a document that deal with each subject."""
-    out: Counter = Counter()
-    for s in sents:
-        lang, _, text = s.partition("|")
-        speaks = model.speaks.get(lang, {})
-        n: dict[int, int] = defaultdict(int)
-        for w in text.split(" "):
-            for k in speaks.get(w, ()):
-                n[k] += 1
-        if n:
-            most = max(n.values())
-            for k, c in n.items():
-                # a term that speaks for two subjects makes no sentence of the lesser one
-                if c >= TERMS_IN_SENTENCE and c == most:
-                    out[k] += 1
-    return out
+def mixtures(docs, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of a batch of documents: each subject's share of the document's terms, its mass in terms (repeats damped), and the
+    sentences that deal with it. All three documents x subjects, from W and the final H."""
+    k, v = len(model.subjects), model.vocabulary
+    share, mass, count = np.zeros((len(docs), k)), np.zeros((len(docs), k)), np.zeros((len(docs), k), np.int64)
+    rows, sents, cols = v.encode(docs)
+    if not len(rows) or not k:
+        return share, mass, count
+    r, starts, c, n, back = v.matrix(rows, cols)
+    vals = np.sqrt(n).astype(np.float32)
+    _, of, part = solve_w(starts, c, vals, model.h)
+    post = part / np.maximum(part.sum(1, keepdims=True), 1e-30)
+    doc = r[of] // len(v.look)
+    for i in range(k):
+        mass[:, i] = np.bincount(doc, post[:, i] * vals, len(docs))
+    share = mass / np.maximum(np.bincount(doc, vals, len(docs)), 1e-12)[:, None]
+    speaks = post[:, :k] >= TERM_SHARE
+    # different terms of each sentence that belong to each subject
+    sentence = rows // len(v.look) * (sents.max() + 1) + sents
+    _, number = np.unique(sentence, return_inverse=True)
+    m = number.max() + 1
+    held = np.zeros((m, k), np.int64)
+    for i in range(k):
+        held[:, i] = np.bincount(number, speaks[back, i], m)
+    # a term that belongs to two subjects makes no sentence of the lesser one
+    deals = (held >= TERMS_IN_SENTENCE) & (held == held.max(1, keepdims=True))
+    whose = np.zeros(m, np.int64)
+    whose[number] = rows // len(v.look)
+    np.add.at(count, whose, deals)
+    return share, mass, count
 
 
 def document_subjects(documents: DataFrame, subjects: DataFrame, labels: DataFrame, least: int = SENTENCES) -> DataFrame:
-    """(doc_id, subject, n_sentences): the subjects of every document, spelled as in ``subjects``."""
+    """(doc_id, subject, share, n_sentences): the subjects of every document, spelled as in ``subjects``; ``share`` is what
+    the document's mixture gives the subject."""
     docs = prose(documents)
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, subjects, labels))
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = model.value
         for b in batches:
-            out = [(d, m.subjects[k], n) for d, s in zip(b["doc_id"], b["sentences"]) for k, n in sentence_counts(s, m).items() if n >= least]
-            if out:
-                yield pd.DataFrame(out, columns=["doc_id", "key", "n_sentences"])
+            share, mass, count = mixtures(b["sentences"], m)
+            i, k = np.nonzero((mass >= LEAST_MASS) & (count >= least))
+            if len(i):
+                yield pd.DataFrame({"doc_id": b["doc_id"].to_numpy()[i], "key": [m.subjects[x] for x in k], "share": np.round(share[i, k], 4), "n_sentences": count[i, k].astype(np.int32)})
 
-    got = docs.mapInPandas(assign, "doc_id long, key string, n_sentences int").groupBy("doc_id", "key").agg(F.max("n_sentences").alias("n_sentences"))
+    got = docs.mapInPandas(assign, "doc_id long, key string, share double, n_sentences int").groupBy("doc_id", "key").agg(F.max(F.struct("n_sentences", "share")).alias("m"))
     spelled = subjects.where("subject is not null").groupBy(F.lower(F.trim("subject")).alias("key")).agg(F.min("subject").alias("subject"))
-    return got.join(spelled, "key").select("doc_id", "subject", "n_sentences")
+    return got.join(spelled, "key").select("doc_id", "subject", "m.share", "m.n_sentences")
+
+
+def composition(found: DataFrame) -> DataFrame:
+    """(subject, n_documents, n_sentences, weight): the corpus by subject; ``weight`` is the sum of the mixtures' shares."""
+    return found.groupBy("subject").agg(F.count("*").alias("n_documents"), F.sum("n_sentences").alias("n_sentences"), F.round(F.sum("share"), 2).alias("weight"))

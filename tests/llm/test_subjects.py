@@ -32,21 +32,37 @@ def test_updates_lower_the_divergence():
     rng = np.random.default_rng(1)
     v = rng.poisson(1.0, (40, 30)).astype(float)
     r, c = np.nonzero(v)
-    h = rng.random((4, 30)) + 0.1
-    h /= h.sum(1, keepdims=True)
+    starts = np.flatnonzero(np.r_[True, np.diff(r) > 0])
+    h = rng.random((30, 4)) + 0.1
+    h /= h.sum(0)
 
     def loss(h):
-        w, _ = s.solve_w(r, c, v[r, c], 40, h, 30)
-        p = (w * v.sum(1)[:, None]) @ h
+        w, _, _ = s.solve_w(starts, c, v[r, c], h, 30)
+        p = (w * v.sum(1)[:, None]) @ h.T
         return (p - v * np.log(np.maximum(p, 1e-12))).sum()
 
     before = loss(h)
     for _ in range(10):
-        n = s.h_share(r, c, v[r, c], 40, h) + 1e-12
-        h = n / n.sum(1, keepdims=True)
+        n = np.full(h.shape, 1e-12)
+        t, x = s.h_share(starts, c, v[r, c], h)
+        n[t] += x
+        h = n / n.sum(0)
     assert loss(h) < before
 
 
+def test_encoding_and_mixtures():
+    v = s.Vocabulary({"de": ["ton"], "en": ["bow", "court", "string"]})
+    docs = [["en|bow string odd", "en|bow court", "de|ton"], [], ["fr|bow"]]
+    r, sent, c = v.encode(docs)
+    assert list(zip(r.tolist(), sent.tolist(), c.tolist())) == [(1, 0, 1), (1, 0, 3), (1, 1, 1), (1, 1, 2), (0, 2, 0)]
+    rows, starts, cols, n, _ = v.matrix(r, c)
+    assert (rows.tolist(), starts.tolist(), cols.tolist(), n.tolist()) == ([0, 1], [0, 1], [0, 1, 2, 3], [1, 2, 1, 1])
+    h = np.array([[0, 0, 1], [0.5, 0, 0], [0, 1, 0], [0.5, 0, 0]], np.float32)  # music, law, and a free component
+    share, mass, count = s.mixtures(docs, s.Model(["music", "law"], v, h))
+    assert count.tolist() == [[1, 0], [0, 0], [0, 0]] and share[0, 0] > share[0, 1] > 0 and not share[1:].any()
+    assert mass[0].round(3).tolist() == [round(2**0.5 + 1, 3), 1.0]
+
+
 def test_held_out_subjects(spark):
     truth, rows = {}, []
     for i in range(600):
