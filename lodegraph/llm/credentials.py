@@ -1,8 +1,10 @@
 """Credentials embedded in source text: find them, list their lines, splice placeholders.
 
-One Aho-Corasick automaton (a deterministic automaton over all anchors: token prefixes, key armor, URL and header
-marks, and names of secrets) reads each text once. An accepting state names a grammar; the grammar reads on from the
-anchor and either gives a span or nothing. All grammars are anchored, so no text is read twice by a search.
+Token formats, key armor and the grammars of connection strings and headers are compiled into one deterministic automaton
+(``dfa.Dfa``). The literal beginnings of all its grammars, with the names of secrets, are the words of an Aho-Corasick
+automaton that reads each text once; where a beginning ends, the deterministic automaton goes on from its first character
+and gives every grammar's longest match and where its value begins, reading each character once. After a name of a secret
+an anchored grammar reads the assignment and its literal, with its adjoined parts. Word lists only filter what was found.
 
 Defined results
 * null or empty text: no span. Very long texts are read in one pass, never cut.
@@ -24,7 +26,8 @@ from pyspark.sql import functions as F
 
 # --- grammars ----------------------------------------------------------------------------------------------------
 
-#: Public token formats: anchor (lower case, as in the automaton) and what must follow from the anchor's first character.
+#: Token formats: beginning (lower case, as in the automaton) and the whole form. The last group are no format published
+#: by a vendor that we know of: the common form ``name_`` or ``name_live_`` before random letters, for names in use.
 TOKEN_FORMATS = {
     "xoxa-": r"xoxa-[0-9A-Za-z-]{20,}",
     "xoxb-": r"xoxb-[0-9A-Za-z-]{20,}",
@@ -45,8 +48,6 @@ TOKEN_FORMATS = {
     "rk_live_": r"rk_live_[0-9A-Za-z]{16,}",
     "sk_test_": r"sk_test_[0-9A-Za-z]{16,}",
     "sk-": r"sk-[0-9A-Za-z_-]{32,}",
-    "pat_": r"pat_(?:live_)?[0-9A-Za-z]{20,}",
-    "ndl_": r"ndl_[0-9A-Za-z]{20,}",
     "key-": r"key-[0-9A-Za-z]{30,}",
     "hf_": r"hf_[0-9A-Za-z]{30,}",
     "dop_v1_": r"dop_v1_[0-9a-f]{40,}",
@@ -55,7 +56,18 @@ TOKEN_FORMATS = {
     "ya29.": r"ya29\.[0-9A-Za-z_-]{20,}",
     "sg.": r"SG\.[0-9A-Za-z_-]{20,}\.[0-9A-Za-z_-]{20,}",
     "eyj": r"eyJ[0-9A-Za-z_-]{10,}\.[0-9A-Za-z_-]{10,}(?:\.[0-9A-Za-z_-]+)?",
+    "pat_": r"pat_(?:live_)?[0-9A-Za-z]{20,}",
+    "ndl_": r"ndl_[0-9A-Za-z]{20,}",
 }
+#: The other grammars of the automaton: (name, beginnings, form). The group v is where the value begins.
+FORMS = (
+    ("armor", ("-----begin ",), r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----"),
+    ("url", ("://",), r"://[^\s:/@\"'`<>{}$]*:(?P<v>[^\s@\"'`<>/]+(?:/[^\s@\"'`<>/]+)*)@"),
+    ("bearer", ("bearer ", "bearer\t"), r"(?i)bearer[ \t]+(?P<v>[A-Za-z0-9._~+/=-]{16,})"),
+    ("basic", ("basic ", "basic\t"), r"(?i)basic[ \t]+(?P<v>[A-Za-z0-9+/]{12,}={0,2})"),
+    ("key_pair", ("akia", "asia"), r"(?:AKIA|ASIA)[A-Z0-9]{16}[\"'`]?[ \t]*(?:,|:|/|;|\||[ \t]and[ \t])[ \t]*(?:[A-Za-z0-9_]+[ \t]*[=:][ \t]*)?[\"'`]?(?P<v>[A-Za-z0-9+/]{40})"),
+    ("user", ("-u ", "-u\t"), r"-u[ \t]+[\"']?[^\s:\"'$<{]+:(?P<v>[^\s\"'`]+)"),
+)
 #: Names after which a value may be a secret.
 SECRET_NAMES = (
     "password passwd passphrase pass pwd pw secret token apikey api_key api-key access_key accesskey access-key auth_key "
@@ -83,14 +95,9 @@ HARMLESS_LAST = frozenset(
     "index map list set parser reader writer scope scopes endpoint host port version age days hours seconds alias text desc description note tooltip icon style".split()
 )
 
-_TOKEN_RE = {a: re.compile(p) for a, p in TOKEN_FORMATS.items()}
 _MASK = re.compile(r"(?i)x{6,}|\*{4,}|\.{4,}|example|0{10,}|(.)\1{7,}")
 _ARMOR = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 _ARMOR_BODY = re.compile(r"""(?:\\n|\\r|[\s"'`+,;#*/]|//)*((?:[A-Za-z0-9+/=]{4,}|[A-Za-z-]+: [^\n\\]+)(?:(?:\\n|\\r|[\s"'`+,;#*/.()\\:]|//|-(?!----))*(?:[A-Za-z0-9+/=,:]+))*)""")
-_URL_CRED = re.compile(r"://([^\s:/@\"'`<>{}$]*):([^\s@\"'`<>/]+(?:/[^\s@\"'`<>/]+)*)@(?=[\w\[<{$.-])")
-_BEARER = re.compile(r"(?i:bearer)[ \t]+([A-Za-z0-9._~+/=-]{16,})")
-_BASIC = re.compile(r"(?i:basic)[ \t]+([A-Za-z0-9+/]{12,}={0,2})(?![A-Za-z0-9+/=])")
-_NAME_AROUND = re.compile(r"[A-Za-z0-9_.-]*\Z")
 _NAME_ON = re.compile(r"[A-Za-z0-9_-]*")
 #: What may stand between a name and its value: closing quote, a type, an assignment sign.
 _ASSIGN = re.compile(
@@ -100,11 +107,8 @@ _OPEN = re.compile(r"""[\[(]?[ \t]*(?:concat!\([ \t\n]*|String::from\(|new[ \t]+
 _JOIN = re.compile(r"""[ \t]*(?:\\?[ \t]*\r?\n[ \t]*)?(?:\+|,|\.\.|\.|<>|&)?[ \t]*(?:\r?\n[ \t]*)?(?:\+[ \t]*)?(["'`])""")
 _BARE = re.compile(r"""[^\s"'`,;<>(){}\[\]|]+""")
 _FLAG = re.compile(r"""--?[A-Za-z][\w-]*\Z""")
+_NAME_CHARS = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789_.-")
 _WORDY = re.compile(r"[a-z]+|[A-Z][a-z]+|[A-Z]+(?![a-z])")
-_LONG = re.compile(r"[A-Za-z0-9+/_=-]{40}")
-_AKIA = re.compile(r"(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Z0-9])")
-_AKIA_PAIR = re.compile(r"""["'`]?[ \t]*(?:,|:|/|;|\||[ \t]and[ \t])[ \t]*(?:\w+[ \t]*[=:][ \t]*)?["'`]?([A-Za-z0-9+/]{40})(?![A-Za-z0-9+/])""")
-_USER_PASS = re.compile(r"""-u[ \t]+["']?([^\s:"'$<{]+):([^\s"'`]+)""")
 _CALL_LOGIN = re.compile(r"""\(\s*["']([^"'\n]+)["']\s*,\s*(["'])((?:(?!\2)[^\n\\])+)\2\s*[,)]""")
 _LOGIN_PROSE = re.compile(r"""(?:[ \t]+as)?[ \t]+(\S+)[ \t]+(?:(?:with|and|using)[ \t]+(?:the[ \t]+)?(?:password|passphrase|token|pass)[ \t]+|/[ \t]+|:[ \t]*)?[`"']?([^\s`"'@,;]+)""")
 _CREDS = re.compile(r"""[ \t]*(?:are|is|=|:)?[ \t]*["'`]?([A-Za-z_][\w.-]*)[ \t]*[:/][ \t]*([^\s"'`,;]+)""")
@@ -157,8 +161,10 @@ def plausible(v: str, named: bool) -> bool:
     return named and v.isalpha() and len(v) >= 8
 
 
-def _literal(text: str, at: int) -> tuple[list[tuple[int, int]], int, str] | None:
-    """The string literal that opens at ``at`` with its adjoined parts: spans of the parts, end, joined value."""
+def _literal(text: str, at: int, goes_on: bool = False) -> tuple[list[tuple[int, int]], int, str] | None:
+    """The string literal that opens at ``at`` with its adjoined parts: spans of the parts, end, joined value.
+
+    ``goes_on``: one that is still open at the end of the text counts, with an end beyond it."""
     m = _OPEN.match(text, at)
     if not m:
         return None
@@ -168,7 +174,9 @@ def _literal(text: str, at: int) -> tuple[list[tuple[int, int]], int, str] | Non
     while True:
         stop = text.find(q + ("#" * (m[1] or "").count("#") if raw else ""), pos)
         if stop < 0:
-            return None
+            if not goes_on or len(q) != 1 or "\n" in text[pos:] or not text[pos:]:
+                return None
+            return [*spans, (pos, len(text))], len(text) + 1, "".join([*value, text[pos:]])
         part = text[pos:stop]
         if len(q) == 1 and q != "`" and not raw and "\n" in part:
             return None
@@ -190,31 +198,35 @@ def _name_words(name: str) -> list[str]:
     return [w.lower() for w in _WORDY.findall(re.sub(r"(?<=[a-z0-9])(?=[A-Z])", "_", name))]
 
 
-#: Grammar numbers in the automaton.
-G_TOKEN, G_ARMOR, G_URL, G_BEARER, G_BASIC, G_NAME, G_AKIA, G_CURL, G_LOGIN, G_CREDS, G_USE = range(11)
+#: What the words of the first automaton stand for.
+G_FORM, G_NAME, G_LOGIN, G_CREDS, G_USE = range(5)
 
 
 class CredentialAutomaton:
-    """The automaton with its grammars. ``spans(text)``: (start, end, kind) of each credential value, in order.
+    """The automata with what filters their finds. ``spans(text)``: (start, end, kind) of each credential value, in order.
 
     The parts of a value that is cut into adjoined literals are spans of their own; the kind of all but the first ends in +.
+    ``goes_on``: the text is known to be cut off at its end, so an open literal, or a key's first line, counts as it stands.
     """
 
     def __init__(self) -> None:
         import ahocorasick
 
+        from .dfa import Dfa
+
+        self.kinds = [*TOKEN_FORMATS, *(name for name, _, _ in FORMS)]
+        self.dfa = Dfa([*TOKEN_FORMATS.values(), *(form for _, _, form in FORMS)])
         a = ahocorasick.Automaton()
-        for anchor in TOKEN_FORMATS:
-            a.add_word(anchor, (G_TOKEN, anchor))
-        for anchor, g in (("-----begin ", G_ARMOR), ("://", G_URL), ("bearer ", G_BEARER), ("basic ", G_BASIC), ("akia", G_AKIA), ("asia", G_AKIA), ("curl ", G_CURL), ("login", G_LOGIN), ("log in ", G_LOGIN), ("creds", G_CREDS), ("use ", G_USE), ("api key", G_NAME)):
-            if anchor not in TOKEN_FORMATS:
-                a.add_word(anchor, (g, anchor))
+        for anchor in [*TOKEN_FORMATS, *(x for _, begins, _ in FORMS for x in begins)]:
+            a.add_word(anchor, (G_FORM, anchor))
+        for anchor, g in (("login", G_LOGIN), ("log in ", G_LOGIN), ("creds", G_CREDS), ("use ", G_USE), ("api key", G_NAME)):
+            a.add_word(anchor, (g, anchor))
         for anchor in SECRET_NAMES:
             a.add_word(anchor, (G_CREDS if anchor == "creds" else G_NAME, anchor))
         a.make_automaton()
         self.automaton = a
 
-    def spans(self, text: str | None) -> list[tuple[int, int, str]]:
+    def spans(self, text: str | None, goes_on: bool = False) -> list[tuple[int, int, str]]:
         if not text:
             return []
         low = text.lower()
@@ -222,89 +234,81 @@ class CredentialAutomaton:
             low = text.translate(_ASCII_LOWER)
         found: list[tuple[int, int, str]] = []
         done = -1  # the end of the last name handled: 'pass' inside 'password' is not read again
+        run = (0, 0)  # the stretch of name characters last walked back over
         for last, (g, anchor) in self.automaton.iter(low):
             start = last + 1 - len(anchor)
-            if g == G_TOKEN:
-                if start and (text[start - 1].isalnum() or text[start - 1] in "_"):
-                    continue
-                got = self._token(text, start, anchor)
-                if got:
-                    found += got
-            elif g == G_ARMOR:
-                m = _ARMOR.match(text, start)
-                if m:
-                    b = _ARMOR_BODY.match(text, m.end())
-                    if b and len(re.sub(r"[^A-Za-z0-9+/=]", "", b[1])) >= 32:
-                        found.append((start, b.end(), "private_key"))
-            elif g == G_URL:
-                m = _URL_CRED.match(text, start)
-                if m and self._url_pass(m[1], m[2]):
-                    found.append((m.start(2), m.end(2), "connection_password"))
-            elif g == G_BEARER:
-                m = _BEARER.match(text, start)
-                if m and looks_random(m[1]) and not harmless(m[1]) and not _MASK.search(m[1]):
-                    found.append((m.start(1), m.end(1), "bearer_token"))
-            elif g == G_BASIC:
-                m = _BASIC.match(text, start)
-                if m and self._basic(m[1]):
-                    found.append((m.start(1), m.end(1), "basic_auth"))
-            elif g == G_AKIA:
-                m = _AKIA.match(text, start)
-                if m and not _MASK.search(m[0]):
-                    p = _AKIA_PAIR.match(text, m.end())
-                    if p and looks_random(p[1]):
-                        found.append((p.start(1), p.end(1), "access_key"))
-            elif g == G_CURL:
-                line_end = text.find("\n", start)
-                m = _USER_PASS.search(text, start, len(text) if line_end < 0 else line_end)
-                if m and plausible(m[2], True):
-                    found.append((m.start(2), m.end(2), "password"))
+            if g == G_FORM:
+                found += self._forms(text, start, goes_on)
             elif g == G_LOGIN:
                 found += self._login(text, last + 1)
-            elif g == G_CREDS:
-                m = _CREDS.match(text, last + 1)
-                if m and plausible(m[2], True):
-                    found.append((m.start(2), m.end(2), "password"))
-                elif anchor == "creds":
-                    found += self._named(text, start, last + 1)
+            elif g == G_CREDS and (m := _CREDS.match(text, last + 1)) and plausible(m[2], True):
+                found.append((m.start(2), m.end(2), "password"))
             elif g == G_USE:
                 if not start or not text[start - 1].isalnum():
                     m = _USE.match(text, last)
                     if m and plausible(m[1], False):
                         found.append((m.start(1), m.end(1), "token"))
-            elif last > done:
+            elif last > done or g == G_CREDS:
                 end = _NAME_ON.match(text, last + 1).end()
                 done = end - 1
-                found += self._named(text, start, end)
+                at = start
+                while at and text[at - 1] in _NAME_CHARS:
+                    if at == run[1]:
+                        at = run[0]
+                        break
+                    at -= 1
+                run = at, start
+                found += self._named(text, at, start, end, goes_on)
         return _merge(found)
 
-    @staticmethod
-    def _token(text: str, start: int, anchor: str):
-        m = _TOKEN_RE[anchor].match(text, start)
-        if m:
-            v = m[0]
-        else:  # a token whose literal is cut into adjoined parts
-            q = text[start - 1] if start else ""
-            lit = _literal(text, start - 1) if q and q in "\"'`" else None
-            if not lit or len(lit[0]) < 2:
-                return None
-            m = _TOKEN_RE[anchor].fullmatch(lit[2])
-            if not m:
-                return None
-            v = lit[2]
-            body = v[len(anchor) :]
-            if _MASK.search(v) or not looks_random(body):
-                return None
-            return [(s, e, "token" + "+" * (i > 0)) for i, (s, e) in enumerate(lit[0])]
-        body = v[len(anchor) :]
-        if _MASK.search(v) or not looks_random(body):
-            return None
-        q = text[start - 1] if start else ""
-        if q and q in "\"'`":
-            lit = _literal(text, start - 1)
-            if lit and len(lit[0]) > 1 and _TOKEN_RE[anchor].fullmatch(lit[2]):
+    def _forms(self, text: str, start: int, goes_on: bool) -> list[tuple[int, int, str]]:
+        """What the deterministic automaton matches from ``start``."""
+        out: list[tuple[int, int, str]] = []
+        before = text[start - 1] if start else ""
+        quoted = bool(before) and before in "\"'`"
+        matched = self.dfa.run(text, start)
+        tokens = [g for g in matched if g < len(TOKEN_FORMATS)]
+        if not tokens and quoted and any(text[start : start + len(x)].lower() == x for x in TOKEN_FORMATS):
+            lit = _literal(text, start - 1)  # a token whose literal is cut into adjoined parts
+            if lit and len(lit[0]) > 1:
+                out += self._parts(lit)
+        for g, (value, end) in matched.items():
+            v, kind = text[value:end], self.kinds[g]
+            if g < len(TOKEN_FORMATS):
+                if before.isalnum() or before == "_" or _MASK.search(v) or not looks_random(v[len(kind) :]):
+                    continue
+                lit = _literal(text, start - 1) if quoted else None
+                out += (lit and len(lit[0]) > 1 and self._parts(lit)) or [(start, end, "token")]
+            elif kind == "armor":
+                b = _ARMOR_BODY.match(text, end)
+                if b and len(re.sub(r"[^A-Za-z0-9+/=]", "", b[1])) >= 32:
+                    out.append((start, b.end(), "private_key"))
+                elif goes_on and text[end:].strip() in ("", "\\n", "\\"):
+                    out.append((start, end, "private_key"))  # the block goes on in the next line
+            elif kind == "url":
+                if text[end : end + 1] and (text[end].isalnum() or text[end] in "_[<{$.-") and self._url_pass(text[start + 3 : value - 1], v[:-1]):
+                    out.append((value, end - 1, "connection_password"))
+            elif kind == "bearer":
+                if looks_random(v) and not harmless(v) and not _MASK.search(v):
+                    out.append((value, end, "bearer_token"))
+            elif kind == "basic":
+                if text[end : end + 1] not in tuple("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/=") and self._basic(v):
+                    out.append((value, end, "basic_auth"))
+            elif kind == "key_pair":
+                if looks_random(v) and not _MASK.search(text[start : start + 20]) and not (text[end : end + 1].isalnum() or text[end : end + 1] in ("+", "/")):
+                    out.append((value, end, "access_key"))
+            elif plausible(v, True) and "curl " in text[text.rfind("\n", 0, start) + 1 : start].lower():
+                out.append((value, end, "password"))
+        return out
+
+    def _parts(self, lit: tuple[list[tuple[int, int]], int, str]) -> list[tuple[int, int, str]]:
+        """The parts of a literal whose joined value is a token."""
+        v = lit[2]
+        got = self.dfa.run(v, 0)
+        for g, (_, end) in got.items():
+            if g < len(TOKEN_FORMATS) and end == len(v) and not _MASK.search(v) and looks_random(v[len(self.kinds[g]) :]):
                 return [(s, e, "token" + "+" * (i > 0)) for i, (s, e) in enumerate(lit[0])]
-        return [(m.start(), m.end(), "token")]
+        return []
 
     @staticmethod
     def _url_pass(user: str, v: str) -> bool:
@@ -331,13 +335,14 @@ class CredentialAutomaton:
             return [(m.start(2), m.end(2), "password")]
         return []
 
-    def _named(self, text: str, start: int, end: int):
-        before = _NAME_AROUND.search(text, max(0, start - 60), start)[0]
-        name = before + text[start:end]
+    def _named(self, text: str, first: int, start: int, end: int, goes_on: bool = False):
+        """The value assigned to the name from ``first`` to ``end``; the name of a secret in it begins at ``start``."""
+        before = text[first:start]
+        name = text[first:end]
         words = _name_words(name)
         if not words:
             return []
-        flag = bool(_FLAG.search(text, max(0, start - 60), end)) and name.startswith("-")
+        flag = name.startswith("-") and bool(_FLAG.search(name))
         tail = words[-1]
         whole = name.lower().strip("-_.")
         secret = tail in ("password", "passwd", "passphrase", "pass", "pwd", "pw", "secret", "token", "apikey", "credential", "credentials", "creds", "auth") or re.search(r"(?:password|passwd|secret|token|apikey)$", whole)
@@ -349,10 +354,12 @@ class CredentialAutomaton:
         m = _ASSIGN.match(text, end)
         if m:
             sign = m[0].strip(" \t\"'`]")
-            lit = _literal(text, m.end())
+            lit = _literal(text, m.end(), goes_on)
             if lit and sign:
-                spans, _, v = lit
+                spans, close, v = lit
                 v = v.strip()
+                if goes_on and (close > len(text) or _GOES_ON.fullmatch(text[close:])) and begins_secret(v):
+                    return [(s, e, "secret" + "+" * (i > 0)) for i, (s, e) in enumerate(x for x in spans if x[1] > x[0])]
                 if "\n" in v:
                     return []
                 if plausible(v, False):
@@ -414,19 +421,14 @@ def automaton() -> CredentialAutomaton:
 
 PLACEHOLDER = "REDACTED"
 
-#: An anchor must be there before a text is sent to a Python worker. Case-folded, exact for the automaton's anchors.
-_PREFILTER = "(?i)" + "|".join(
-    re.escape(x) for x in ("://", "-----begin ", "pass", "pwd", "pw", "secret", "oken", "key", "cred", "bearer ", "basic ", "akia", "asia", "curl ", "login", "log in ", "use ", "eyj", "xox", "xapp-", "gh", "glpat-", "npm_", "pypi-", "_live_", "_test_", "sk-", "pat_", "ndl_", "hf_", "dop_v1_", "aiza", "ya29.", "sg.")
-)
-
 
-def _spans_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    a = automaton()
+def _spans_batches(batches: Iterator[pd.DataFrame], spans=None) -> Iterator[pd.DataFrame]:
+    spans = spans or automaton().spans
     for b in batches:
         rows: dict[str, list] = {k: [] for k in ("record_id", "first_line", "line_no", "start", "end", "kind", "key", "indent", "column")}
         for rid, first, key, text in zip(b["record_id"], b["first_line"], b["key"], b["text"]):
             line, at, begin, code = 0, 0, 0, None
-            for s, e, kind in a.spans(text):
+            for s, e, kind in spans(text):
                 n = text.count("\n", at, s)
                 if n or code is None:
                     begin = text.rfind("\n", at, s) + 1 if n else 0
@@ -449,7 +451,7 @@ def credential_spans(df: DataFrame, record_id: str, text: str, first_line: str |
 
     ``line_no`` counts from 0 within the text, ``start`` and ``end`` are character offsets, ``column`` is the value's
     offset from the first character of its line that is not blank, ``indent`` the number of blanks before that. ``key``
-    is passed through (a file path, say). Texts in which no anchor occurs never reach Python.
+    is passed through (a file path, say).
     """
     d = df.select(
         F.col(record_id).cast("long").alias("record_id"),
@@ -474,46 +476,34 @@ def issue_lines(issues: DataFrame) -> DataFrame:
     """
     d = issues.select("issue_id", "line", "snippet").where("snippet is not null")
     s = d.select(F.col("issue_id").cast("long").alias("record_id"), F.col("line").cast("int").alias("first_line"), F.lit(None).cast("string").alias("key"), F.col("snippet").alias("text")).where("record_id is not null")
-    return s.mapInPandas(_snippet_batches, SPANS_SCHEMA).where("kind not like '%+'").select(F.lit("issue").alias("record_type"), "record_id", F.col("first_line").alias("line_no")).distinct()
-
-
-def _snippet_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for b in batches:
-        b = b.copy()
-        b["text"] = [complete_snippet(x) for x in b["text"]]
-        yield from _spans_batches(iter([b]))
+    return s.mapInPandas(lambda bs: _spans_batches(bs, snippet_spans), SPANS_SCHEMA).where("kind not like '%+'").select(F.lit("issue").alias("record_type"), "record_id", F.col("first_line").alias("line_no")).distinct()
 
 
 #: Snippets end here; what lies beyond is unknown.
 SNIPPET_LENGTH = 150
+#: After a closed literal: it goes on in the next line.
+_GOES_ON = re.compile(r"\s*[+\\]?\s*")
+_SHOWN = re.compile(r"[A-Za-z0-9]+(?:[-.!@#$%^&*?~+/=][A-Za-z0-9]*)+")
 
 
-_GOES_ON = re.compile(r"""(?:=|:)\s*(?:\(\s*(['"])([^'"\n]{6,})\1|(['"])([^'"\n]{6,})\3\s*[+\\])\s*$""")
+def begins_secret(v: str) -> bool:
+    """Could a value that is cut off here be a secret? Eight characters must show, and more than one word."""
+    return plausible(v, False) or len(v) >= 8 and not harmless(v) and bool(_SHOWN.fullmatch(v))
 
 
-def complete_snippet(s: str) -> str:
-    """A cut snippet with its open literal closed, so that the grammars read what is shown of the value."""
-    if _ARMOR.search(s) and not _ARMOR_BODY.match(s, _ARMOR.search(s).end()) and not re.search(r"-----\s*(?:is|are|was|and|or|in|lines?)\b", s):
-        at = _ARMOR.search(s).end()
-        if not s[at:].strip() or s[at:] in ("\\n", "\\"):
-            s = s[:at] + "\n" + "A1b2C3d4" * 8  # the block goes on in the next line
-    m = _GOES_ON.search(s)
-    if m:  # the literal goes on in the next line, and what it goes on with is unknown
-        return s[: m.end(2) if m[2] else m.end(4)] + "A1b2C3d4" + (m[1] or m[3])
-    if len(s) < SNIPPET_LENGTH:
-        return s
-    for q in "\"'`":
-        if s.count(q) % 2:
-            return s + q
-    return s
+def snippet_spans(snippet: str) -> list[tuple[int, int, str]]:
+    """As ``spans`` for a trimmed line that may be cut off at ``SNIPPET_LENGTH`` characters, or go on in the next line."""
+    a = automaton()
+    cut_off = len(snippet) >= SNIPPET_LENGTH or snippet.endswith(("'", '"', "`", "+", "\\")) or "-----BEGIN " in snippet
+    return a.spans(snippet, cut_off)
 
 
-def _redact_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    a = automaton()
+def _redact_batches(batches: Iterator[pd.DataFrame], find=None) -> Iterator[pd.DataFrame]:
+    find = find or automaton().spans
     for b in batches:
         out, n = [], []
         for text in b["text"]:
-            spans = a.spans(text)
+            spans = find(text)
             out.append(splice(text, spans))
             n.append(len(spans))
         yield pd.DataFrame({"record_id": b["record_id"], "n_values": n, "redacted": out})
@@ -560,10 +550,11 @@ def splice(text: str, spans: list[tuple[int, int, str]]) -> str:
     return "".join(parts)
 
 
-def redact(df: DataFrame, record_id: str, text: str) -> DataFrame:
-    """(record_id, n_values, redacted): the texts that hold credentials with only the values replaced."""
+def redact(df: DataFrame, record_id: str, text: str, snippets: bool = False) -> DataFrame:
+    """(record_id, n_values, redacted): the texts that hold credentials with only the values replaced. ``snippets``: the
+    texts are lines that may be cut off."""
     d = df.select(F.col(record_id).cast("long").alias("record_id"), F.col(text).alias("text")).where("record_id is not null and text is not null and text <> ''")
-    return d.mapInPandas(_redact_batches, "record_id long, n_values int, redacted string").where("n_values > 0")
+    return d.mapInPandas((lambda bs: _redact_batches(bs, snippet_spans)) if snippets else _redact_batches, "record_id long, n_values int, redacted string").where("n_values > 0")
 
 
 def absolute_spans(chunks: DataFrame) -> DataFrame:

@@ -19,7 +19,10 @@ def p1_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p1_redacted(spark: SparkSession, sf: str) -> DataFrame:
-    return credentials.redact(table(spark, sf, "chunks"), "id", "content").dropDuplicates(["record_id"])
+    """(record_type, record_id, n_values, redacted) of chunks and of the scanner's snippets."""
+    c = credentials.redact(table(spark, sf, "chunks"), "id", "content").select(F.lit("chunk").alias("record_type"), "*")
+    i = credentials.redact(table(spark, sf, "security_issues"), "issue_id", "snippet", snippets=True).select(F.lit("issue").alias("record_type"), "*")
+    return c.unionByName(i).dropDuplicates(["record_type", "record_id", "redacted"])
 
 
 def p1_spans(spark: SparkSession, sf: str) -> DataFrame:

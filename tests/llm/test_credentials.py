@@ -74,7 +74,7 @@ def test_tables(spark):
 
 @pytest.mark.parametrize("s, found", [("passwd = ('glacier-th'", 1), ('password = "orbit-vel" +', 1), ("password = ('changeme'", 0), ("x = ('glacier-th'", 0), ("secret = ('${SECRET}'", 0)])
 def test_snippets_that_go_on(s, found):
-    assert len(c.automaton().spans(c.complete_snippet(s))) == found
+    assert len(c.snippet_spans(s)) == found
 
 
 def test_every_value_of_a_line_has_its_place(spark):
@@ -96,3 +96,35 @@ KEYS = ['k = """-----BEGIN PRIVATE KEY-----\n{}\n{}\n{}\n-----END PRIVATE KEY---
 def test_short_parts_of_a_key_are_replaced(form, last):
     text = form.format(rnd(64), rnd(5), last)
     assert c.splice(text, c.automaton().spans(text)) == form.format(*[c.PLACEHOLDER] * 3)
+
+
+def test_the_automaton_against_the_same_grammars_in_re():
+    import re
+
+    from lodegraph.llm.dfa import Dfa
+
+    forms = [*c.TOKEN_FORMATS.values(), *(f for _, _, f in c.FORMS)]
+    d = Dfa(forms)
+    pieces = ["ghp_", "sk-", "://", ":", "@", "Bearer ", "basic ", "AKIA" + "A" * 16, '", "', "-----BEGIN ", "RSA ", "PRIVATE KEY", "-----", "-u ", "\n", "/", "é", "eyJ", ".", "="]
+    for _ in range(3000):
+        text = "".join(R.choice(pieces) if R.random() < 0.5 else rnd(R.randint(3, 45)) for _ in range(R.randint(1, 6)))
+        want = {}
+        for g, f in enumerate(forms):
+            ends = [e for e in range(len(text), -1, -1) if re.fullmatch(f, text[:e])]
+            if ends:
+                m = re.fullmatch(f, text[: ends[0]])
+                want[g] = (m.start("v") if "v" in m.re.groupindex else 0, ends[0])
+        assert d.run(text, 0) == want
+
+
+def test_long_names_and_long_flags():
+    name = "a" * 90 + "_password"
+    assert c.automaton().spans(f'{name} = "tangerine2028*"')
+    assert c.automaton().spans("tool --" + "b" * 90 + "-password tangerine2028*")
+    assert c.automaton().spans("x." * 20_000 + 'password = "tangerine2028*"')
+
+
+def test_snippets_are_redacted_as_they_stand(spark):
+    i = spark.createDataFrame([(1, "passwd = ('glacier-th'"), (2, "x = 1"), (3, None), (4, 'token = "' + rnd(150))], "issue_id long, snippet string")
+    got = {r["record_id"]: r["redacted"] for r in c.redact(i, "issue_id", "snippet", snippets=True).collect()}
+    assert got == {1: "passwd = ('REDACTED'", 4: 'token = "REDACTED'}
