@@ -1,7 +1,8 @@
 """Files nobody wrote by hand: generated, minified, third-party copies, lock files, data dumps in code form.
 
 Every chunk is read once. Its normalised token stream (comments and blanks dropped, case folded, numbers masked) is
-fingerprinted by winnowing; files whose fingerprints largely recur across several unrelated repositories are copies.
+fingerprinted by winnowing. Files whose fingerprints largely recur across several unrelated repositories, or in code of
+another repository that is known to be third-party (by its folder or its own notes), are copies.
 The same pass takes down what the text itself says: the notes in the comment that opens the file, and how many of its
 characters stand in minified lines, in data, in rows of a table, in the entries of a lock file. All of it is added up
 by file; nothing depends on how a file was cut into chunks or how many files there are.
@@ -119,17 +120,27 @@ def _winnow(block: list[np.ndarray], gram: int, window: int) -> list[np.ndarray]
 # --- what a text says of itself ----------------------------------------------------------------------------------
 
 _COMMENT_LINE = re.compile(r"^\s*(?://+!?|/\*+!?|\*+/?|#+!?|--+|;+|<!--|%+|>+|\"\"\"|''')\s?(?P<t>.*?)\s*(?:\*/|-->)?\s*$")
+# Notes are told by what words of a few classes say together, not by whole phrases.
+_MADE = r"(?:generated|created|produced|written|assembled|built|compiled|derived|extracted|emitted)"
+_BY_ITSELF = r"(?:auto(?:matically)?|mechanically|machine)[- ]?"
+_CHANGE = r"(?:edit|modify|change|touch|alter)"
+_CHANGES = r"(?:edits|changes|modifications|edited)"
+_THIS = r"(?:this|the) (?:file|code|source|page|module|output|document)"
+#: Made by itself, or out of something; or a change to it is unwanted, in vain, or to be made elsewhere.
 GENERATED_NOTE = re.compile(
-    r"(?i)@generated\b|<auto-?generated|\b(?:code|file|source|this (?:file|code|module|page)(?: (?:is|was|has been))?)\s+(?:is\s+|was\s+)?(?:auto(?:matically)?[- ]?)?(?:generated|created|produced|written) (?:automatically |by |from |with |out of |using |on )"
-    r"|\bauto-?generated(?:\b(?! stub).*(?:do not|don't|by|from|file)|[,.:;]|$)|\bautomatically (?:generated|created|written|produced|assembled|built|compiled|derived|extracted)\b|\bchange the (?:sources?|input|generator),? not this\b|\bmachine[- ](?:written|generated|made)\b[;:,.]|\bgenerated(?: file)?[:;,] *(?:do not|don't)\b|\bgenerated by\b.*"
-    r"|\boutput of `[^`]+`|\bedit the input instead\b|\bmanual changes will be lost\b|\bedits are overwritten\b|\bregenerate with\b|automatisch (?:erzeugt|generiert|erstellt)|nicht (?:manuell )?bearbeiten\b|generado autom[aá]ticamente|(?:g[eé]n[eé]r[eé]|cr[eé][eé]) automatiquement|no editar\b"
+    rf"(?i)@generated\b|<auto-?generated|\b{_BY_ITSELF}{_MADE}\b(?! stub)(?:[,.:;(]|$|.*\b(?:by|from|out of|with|file|do not|don't)\b|(?: \w+){{0,3}}[.;])"
+    rf"|\b(?:code|file|source|this (?:file|code|module|page|document))\s+(?:(?:is|was|has been)\s+)?(?:{_BY_ITSELF})?{_MADE}\s+(?:automatically|by|from|with|out of|using|on)\b"
+    rf"|\b{_MADE} (?:by|from)\b|\b{_MADE}(?: file)?[:;,]\s*(?:do not|don't)\b|\b{_CHANGE}\b[^.;]*\b(?:instead of|not) this\b|\b{_CHANGES}\b[^.;]*\b(?:lost|overwritten|discarded)\b|\bregenerate with\b"
+    r"|automatisch (?:erzeugt|generiert|erstellt)|nicht (?:manuell )?bearbeiten\b|generado autom[aá]ticamente|(?:g[eé]n[eé]r[eé]|cr[eé][eé]) automatiquement|no editar\b"
 )
+#: Taken from elsewhere; or a name with a version, or a licence that others grant.
 THIRD_PARTY_NOTE = re.compile(
-    r"(?i)\bthird[- ]party (?:snapshot|copy|code|import) of\b|\b(?:copied|imported|taken|mirrored) (?:verbatim |unchanged |unmodified )?from (?:the )?[\w.-]+ (?:distribution|release|project|repository|repo|library|sources?)\b|\bvendored (?:from|copy of)\b|\breport bugs upstream\b|^\s*upstream:\s*\S"
-    r"|\bcontributors, (?:released|licen[sc]ed|distributed) under\b|\bredistribution and use\b.*\bpermitted\b|\bpermission is hereby granted\b|\blicen[sc]ed under the (?:apache|mit|bsd|mozilla|gnu)\b.*\b(?:authors|contributors)\b|^[\w.@/-]+ (?:version |release |v)?\d+\.\d+\.\d+\b\s*$|^!?\s*[\w.@/-]+ v\d+\.\d+(?:\.\d+)?\b"
+    r"(?i)\b(?:third[- ]party|vendored|unmodified|verbatim) (?:snapshot|copy|code|import|version) (?:of|from)\b|\b(?:copied|imported|taken|mirrored|vendored) (?:verbatim |unchanged |unmodified )?from (?:(?:the )?[\w.-]+ (?:distribution|release|project|repository|repo|library|sources?)\b|[\w.-]+,? (?:commit|version|release|tag|v?\d))|^\s*upstream:\s*\S"
+    r"|\b(?:contributors|authors)\b.*\b(?:released|licen[sc]ed|distributed) under\b|\blicen[sc]ed under the\b.*\b(?:authors|contributors)\b|\bredistribution and use\b|\bpermission is hereby granted\b|^!?\s*[\w.@/-]+ (?:version |release )?v?\d+\.\d+(?:\.\d+)?\b(?:\s*$|(?<=\d)\s*[|,(*-])|^!?\s*[\w.@/-]+ v\d+\.\d+"
 )
-LOCK_NOTE = re.compile(r"(?i)\b(?:written|generated|produced|maintained) by the (?:dependency )?resolver\b|\block ?file\b.*\b(?:do not|generated)|^lock format \d|\"lock(?:file)?version\"\s*:")
-NOT_SO = re.compile(r"(?i)\b(?:not|no longer|never) (?:vendored|generated|minified|third[- ]party)|\b(?:written|kept|maintained|edited) by hand\b|\bhand[- ]?(?:written|kept|maintained|edited)\b|\btemplate logic\b|\bthe generator\b.*\bwrites\b|\bwe wrote\b")
+LOCK_NOTE = re.compile(rf"(?i)\b{_MADE} by the (?:dependency )?(?:resolver|package manager)\b|\block[- ]?file\b.*\b(?:do not|{_MADE})\b|\block(?:[- ]?file)?[ _-]?(?:format|version)\b[\"':= ]*\d")
+#: Not what the rest of the note may look like; by hand; or about a tool that makes other files.
+NOT_SO = re.compile(rf"(?i)\b(?:not|no longer|never) (?:vendored|minified|third[- ]party|{_MADE})|\b(?:written|kept|maintained|edited) by hand\b|\bhand[- ]?(?:written|kept|maintained|edited)\b|\b(?:the|a|our) (?:generator|script|tool|compiler)\b[^.;]*\b(?:writes|emits|adds|produces|creates)\b")
 
 _SKELETON = re.compile(r"0x[0-9a-f]+|\d+", re.I)
 _DATA = re.compile(r"""[-+]?(?:0x[0-9a-fA-F]+|\d[\d_]*\.?\d*(?:[eE][-+]?\d+)?)[uUlLfF]?\d*|\\x[0-9a-fA-F]{2}|[A-Za-z0-9+/=]{48,}|\b[0-9a-fA-F]{16,}\b""")
@@ -223,21 +234,20 @@ def features(text: str) -> tuple[int, int, int, int, int, int, int]:
 
 
 _FIELDS = "n_chars mini data n_lines table lock maps".split()
-_OUT = "id long, file_path string, generated int, third_party int, lock_note int, " + ", ".join(f"{x} long" for x in _FIELDS) + ", fps array<long>"
+_OUT = "id long, file_path string, line_start int, generated int, third_party int, lock_note int, " + ", ".join(f"{x} long" for x in _FIELDS) + ", fps array<long>"
 
 
 def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         texts = [t or "" for t in b["content"]]
-        code = [t if p.rsplit(".", 1)[-1].lower() in CODE else "" for p, t in zip(b["file_path"], texts)]
-        notes = [head_notes(t) if pd.isna(at) or at <= 12 else (0, 0, 0) for at, t in zip(b["line_start"], texts)]
+        notes = [head_notes(t) for t in texts]
         feats = [features(t) for t in texts]
-        out = pd.DataFrame({"id": b["id"], "file_path": b["file_path"]})
+        out = pd.DataFrame({"id": b["id"], "file_path": b["file_path"], "line_start": b["line_start"].fillna(1).astype("int32")})
         for i, k in enumerate(("generated", "third_party", "lock_note")):
             out[k] = [n[i] for n in notes]
         for i, k in enumerate(_FIELDS):
             out[k] = [f[i] for f in feats]
-        out["fps"] = fingerprints(code)
+        out["fps"] = fingerprints(texts)
         yield out
 
 
@@ -251,8 +261,13 @@ MIN_REPOS, MIN_SHARE, MIN_PRINTS = 3, 0.5, 6
 
 
 def repository(path):
-    """The first two path segments name a repository; a path without them is its own."""
-    return F.coalesce(F.nullif(F.regexp_extract(path, r"^(/?[^/]+/[^/]+)/", 1), F.lit("")), path)
+    """The first two path segments name a repository, whatever the case and the slashes; a path without them is its own."""
+    p = F.lower(F.regexp_replace(F.regexp_replace(path, r"\\", "/"), r"/(?:\./|/)+", "/"))
+    return F.coalesce(F.nullif(F.regexp_extract(p, r"^(/?[^/]+/[^/]+)/", 1), F.lit("")), p)
+
+
+def in_third_party_folder(path):
+    return F.arrays_overlap(F.split(path, "/"), F.array(*map(F.lit, THIRD_PARTY_DIRS)))
 
 
 def chunk_evidence(chunks: DataFrame) -> DataFrame:
@@ -262,16 +277,23 @@ def chunk_evidence(chunks: DataFrame) -> DataFrame:
 
 
 def recurring_share(evidence: DataFrame, min_repos: int = MIN_REPOS) -> DataFrame:
-    """(file_path, n_prints, n_recurring): a file's fingerprints and how many of them occur in ``min_repos`` repositories.
+    """(file_path, n_prints, n_recurring, n_known): a file's fingerprints, how many of them occur in ``min_repos``
+    repositories, and how many in third-party code of another repository.
 
-    Repositories are counted after a map-side distinct, so a fingerprint that is everywhere costs each map task one row
-    a repository.
+    Known third-party code seeds the index: chunks in folders of such code, and those whose opening comment says so.
+    Fingerprints are first made distinct by repository, map-side, so one that is everywhere costs each map task one row a
+    repository; a row a fingerprint then goes to the files that have it.
     """
-    p = evidence.select("file_path", F.xxhash64(repository(F.col("file_path"))).alias("repo"), F.explode("fps").alias("fp"))
-    common = p.groupBy("fp", "repo").count().groupBy("fp").agg(F.count("*").alias("n")).where(F.col("n") >= min_repos).select("fp")
-    hits = p.join(common, "fp", "left_semi").groupBy("file_path").agg(F.count("*").alias("n_recurring"))
+    seed = (in_third_party_folder(F.col("file_path")) | (F.col("third_party") > 0)).cast("int")
+    p = evidence.select("file_path", F.xxhash64(repository(F.col("file_path"))).alias("repo"), seed.alias("seed"), F.explode("fps").alias("fp"))
+    by = p.groupBy("fp", "repo").agg(F.max("seed").alias("seed"))
+    known = by.groupBy("fp").agg(F.count("*").alias("n"), F.sum("seed").alias("seeds"), F.max(F.when(F.col("seed") == 1, F.col("repo"))).alias("whose"))
+    known = known.where((F.col("n") >= min_repos) | (F.col("seeds") > 0))
+    j = p.select("file_path", "repo", "fp").join(known, "fp")
+    elsewhere = (F.col("seeds") > 1) | ((F.col("seeds") == 1) & (F.col("whose") != F.col("repo")))
+    hits = j.groupBy("file_path").agg(F.count_if(F.col("n") >= min_repos).alias("n_recurring"), F.count_if(elsewhere).alias("n_known"))
     total = evidence.groupBy("file_path").agg(F.sum(F.size("fps")).alias("n_prints"))
-    return total.join(hits, "file_path", "left").select("file_path", "n_prints", F.coalesce("n_recurring", F.lit(0)).alias("n_recurring"))
+    return total.join(hits, "file_path", "left").select("file_path", "n_prints", F.coalesce("n_recurring", F.lit(0)).alias("n_recurring"), F.coalesce("n_known", F.lit(0)).alias("n_known"))
 
 
 def classify_files(chunks: DataFrame, ignore_patterns: DataFrame | None = None, min_repos: int = MIN_REPOS, min_share: float = MIN_SHARE) -> DataFrame:
@@ -280,17 +302,21 @@ def classify_files(chunks: DataFrame, ignore_patterns: DataFrame | None = None,
     ``ignored`` tells whether a pattern of ``ignore_patterns`` (``*`` first: suffix, otherwise substring) fits the path.
     """
     e = chunk_evidence(chunks)
-    f = e.groupBy("file_path").agg(*(F.max(k).alias(k) for k in ("generated", "third_party", "lock_note")), *(F.sum(k).alias(k) for k in _FIELDS))
+    # the notes of a file are those of its first chunk, wherever that begins
+    opening = F.min_by(F.struct("generated", "third_party", "lock_note"), F.struct("line_start", -F.col("generated"), -F.col("third_party"), -F.col("lock_note"))).alias("o")
+    f = e.groupBy("file_path").agg(opening, *(F.sum(k).alias(k) for k in _FIELDS)).select("file_path", "o.*", *_FIELDS)
     f = f.join(recurring_share(e, min_repos), "file_path", "left")
     path = F.col("file_path")
     name = F.element_at(F.split(path, "/"), -1)
-    in_dir = F.arrays_overlap(F.split(path, "/"), F.array(*map(F.lit, THIRD_PARTY_DIRS)))
+    in_dir = in_third_party_folder(path)
     chars, lines = F.greatest("n_chars", F.lit(1)), F.greatest("n_lines", F.lit(1))
     code = F.lower(F.element_at(F.split(name, r"\."), -1)).isin(*CODE)
     minified = (F.col("mini") / chars >= 0.5) | ((F.col("maps") > 0) & (F.col("mini") > 0)) | (name.rlike(r"(?i)[.-]min\.(?:js|mjs|cjs|css)$") & (F.col("mini") > 0)) | name.rlike(r"(?i)\.(?:min|bundle)\.(?:js|mjs|cjs|css)$")
     lock = (F.col("lock_note") > 0) | ((F.col("lock") / lines >= 0.5) & (F.col("n_lines") >= 4) & ~code)
     table = (F.col("table") / lines >= 0.5) & (F.col("n_lines") >= 10) & code
     data = (F.col("data") / chars >= 0.4) & (F.col("n_chars") >= 300) & code
+    share = F.greatest("n_recurring", "n_known") / F.greatest("n_prints", F.lit(1))
+    by_prints = (F.col("n_prints") >= MIN_PRINTS) & (share >= min_share)
     reason = (
         F.when(in_dir | (F.col("third_party") > 0) & ~minified, "third_party")
         .when(F.col("generated") > 0, "generated")
@@ -298,9 +324,9 @@ def classify_files(chunks: DataFrame, ignore_patterns: DataFrame | None = None,
         .when(lock, "lock")
         .when(data, "data")
         .when(table, "generated")
-        .when((F.col("n_prints") >= MIN_PRINTS) & (F.col("n_recurring") / F.greatest("n_prints", F.lit(1)) >= min_share), "copy")
+        .when(by_prints, "copy")
     )
-    f = f.withColumn("reason", reason)
+    f = f.withColumns({"by_prints": by_prints, "reason": reason})
     if ignore_patterns is not None:
         pats = ignore_patterns.select(F.trim("pattern").alias("pattern")).where("pattern <> ''").distinct()
         # one row holds all patterns, as an array: the table of patterns is configuration, a few rows

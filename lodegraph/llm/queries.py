@@ -35,7 +35,7 @@ def p2_found(spark: SparkSession, sf: str) -> DataFrame:
 
 def p2_files(spark: SparkSession, sf: str) -> DataFrame:
     f = machine_files.classify_files(table(spark, sf, "chunks"), table(spark, sf, "ignore_patterns"))
-    return f.select("file_path", "reason", "ignored", "n_prints", "n_recurring")
+    return f.select("file_path", "reason", "ignored", "by_prints", "n_prints", "n_recurring", "n_known")
 
 
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:

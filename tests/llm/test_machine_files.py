@@ -69,3 +69,17 @@ def test_notes_below_a_long_licence_and_tables_with_long_rows():
     assert m.head_notes(licence + "fn a() {}\n// Code generated by gridc. DO NOT EDIT.\n") == (0, 0, 0)
     rows = ["row(" + ", ".join(str(i * j % 977) for j in range(200)) + ");" for i in range(1, 41)]
     assert m.features("\n".join(rows))[4] == 40
+
+
+def test_copies_of_known_third_party_code(spark):
+    """One copy stands in a folder of such code, the other under a name of its own, without a note: its fingerprints tell."""
+    lib, note = code(60), "// Vendored from lib, commit 0123abcd; local patches: none\n"
+    rows = [(1, "/r/a/vendor/lib/x.rs", 1, lib), (2, "/r/b/src/own.rs", 1, lib + "\n" + code(3)), (3, "/r/a/src/user.rs", 1, code(60)), (4, "/R/A/./src/twin.rs", 1, lib)]
+    more = code(60)
+    rows += [(5, "/r/c/src/n.rs", 70, note + more), (6, "/r/d/src/m.js", 1, more), (7, "/r/e/src/late.rs", 1, "fn a() {}"), (8, "/r/e/src/late.rs", 9, "// Code generated by x. DO NOT EDIT.\nfn b() {}")]
+    d = spark.createDataFrame(rows, "id long, file_path string, line_start int, content string")
+    got = {r["file_path"]: (r["reason"], r["by_prints"]) for r in m.classify_files(d).collect()}
+    assert got["/r/b/src/own.rs"] == got["/r/d/src/m.js"] == ("copy", True)
+    assert got["/r/a/vendor/lib/x.rs"][0] == got["/r/c/src/n.rs"][0] == "third_party"
+    # the user's own files, a twin in the same repository, and notes below the opening tell nothing
+    assert got["/r/a/src/user.rs"] == got["/R/A/./src/twin.rs"] == got["/r/e/src/late.rs"] == (None, False)
