@@ -32,16 +32,17 @@ from ..session import cut
 GRAM, WINDOW = 40, 24
 _TOKEN = re.compile(r"//[^\n]*|/\*.*?\*/|(?m:^)[ \t]*\#(?!\[|include|define|if|endif)[^\n]*|([a-z_$]+|\d+|[^\s\w])", re.S)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
-_HASHES: dict[str, int] = {}
+class _Hashes(dict):
+    """The hash of each token; all numbers have one. Emptied when it has grown large."""
 
+    def __missing__(self, token: str) -> int:
+        if len(self) > 500_000:
+            self.clear()
+        h = self[token] = xxhash.xxh64_intdigest("0" if token.isdigit() else token)
+        return h
 
-def _hash(token: str) -> int:
-    h = _HASHES.get(token)
-    if h is None:
-        if len(_HASHES) > 500_000:
-            _HASHES.clear()
-        h = _HASHES[token] = xxhash.xxh64_intdigest("0" if token.isdigit() else token)
-    return h
+
+_HASHES = _Hashes()
 
 
 def fingerprints(texts: list[str], gram: int = GRAM, window: int = WINDOW) -> list[np.ndarray]:
@@ -51,7 +52,7 @@ def fingerprints(texts: list[str], gram: int = GRAM, window: int = WINDOW) -> li
     size = 0
     for t in texts:
         toks = [x for x in _TOKEN.findall(t.lower()) if x] if t else []
-        block.append(np.fromiter(map(_hash, toks), np.uint64, len(toks)))
+        block.append(np.fromiter(map(_HASHES.__getitem__, toks), np.uint64, len(toks)))
         size += len(toks)
         if size > 1_000_000:
             out += _winnow(block, gram, window)
@@ -142,6 +143,13 @@ LOCK_NOTE = re.compile(rf"(?i)\b{_MADE} by the (?:dependency )?(?:resolver|packa
 #: Not what the rest of the note may look like; by hand; or about a tool that makes other files.
 NOT_SO = re.compile(rf"(?i)\b(?:not|no longer|never) (?:vendored|minified|third[- ]party|{_MADE})|\b(?:written|kept|maintained|edited) by hand\b|\bhand[- ]?(?:written|kept|maintained|edited)\b|\b(?:the|a|our) (?:generator|script|tool|compiler)\b[^.;]*\b(?:writes|emits|adds|produces|creates)\b")
 
+#: A line without one of these, or a number with a point, matches none of the patterns above.
+_STEMS = tuple(
+    "generat generado creat produc writ assembl built compil deriv extract emit instead this lost overwrit discard automati bearbeit editar "
+    "third vendored unmodified verbatim copied imported taken mirrored upstream contributors authors redistribution permission lock resolver manager".split()
+)
+_POINT = re.compile(r"\d\.\d")
+
 _SKELETON = re.compile(r"0x[0-9a-f]+|\d+", re.I)
 _DATA = re.compile(r"""[-+]?(?:0x[0-9a-fA-F]+|\d[\d_]*\.?\d*(?:[eE][-+]?\d+)?)[uUlLfF]?\d*|\\x[0-9a-fA-F]{2}|[A-Za-z0-9+/=]{48,}|\b[0-9a-fA-F]{16,}\b""")
 _LOCK_LINE = re.compile(r"""(?i)\b(?:integrity|checksum|sha(?:1|256|384|512)|hash|resolved)["']?\s*[:=]\s*["'{]?|^\s*\[\[package\]\]|^\s*["']?version["']?\s*[:=]\s*["']?\d+\.\d+|@\d+\.\d+\.\d+[:{"]|sha(?:256|384|512)-[A-Za-z0-9+/]{20,}|^\s*name\s*=\s*"|==\d+\.\d+(?:\.\d+)?\s*(?:\\|--hash)|\bh1:[A-Za-z0-9+/]{30,}=|^[-*+] `[^`]+`.*\b(?:line |:)\d+$""")
@@ -157,6 +165,11 @@ def _lines(text: str) -> Iterator[str]:
     yield text[at:]
 
 
+def _may_note(line: str) -> bool:
+    low = line.lower()
+    return any(x in low for x in _STEMS) or bool(_POINT.search(low))
+
+
 def head_notes(text: str) -> tuple[int, int, int]:
     """(generated, third party, lock) as the comment lines that open the text say."""
     g = v = k = 0
@@ -167,7 +180,7 @@ def head_notes(text: str) -> tuple[int, int, int]:
             continue
         m = _COMMENT_LINE.match(line)
         if not m and not quote:
-            if LOCK_NOTE.search(s):
+            if any(x in s.lower() for x in ("lock", "resolver", "manager")) and LOCK_NOTE.search(s):
                 k = 1
             if s in "{[" or s.startswith(("#!", "package ", "<?")) or n == 0 and s.startswith("'use strict"):
                 continue
@@ -177,7 +190,7 @@ def head_notes(text: str) -> tuple[int, int, int]:
             quote = True
         if "*/" in s:
             quote = False
-        if NOT_SO.search(t):
+        if not _may_note(t) or NOT_SO.search(t):
             continue
         k |= bool(LOCK_NOTE.search(t))
         g |= bool(GENERATED_NOTE.search(t))
@@ -188,6 +201,8 @@ def head_notes(text: str) -> tuple[int, int, int]:
 _ARMORED = re.compile(r"-----BEGIN [^-\n]+-----.*?(?:-----END [^-\n]+-----|\Z)", re.S)
 #: Without one of these a text holds no lock entries; the line patterns are only tried where one is there.
 _LOCK_HINTS = ("integrity", "checksum", "sha", "version", "hash", "resolved", "==", "@", "h1:", "[[package", "line ", ".rs:", ".py:")
+#: The same for a line: each alternative of the pattern holds one.
+_LINE_HINTS = ("integrity", "checksum", "sha", "version", "hash", "resolved", "==", "@", "h1:", "[[package", "name", "`")
 
 
 def features(text: str) -> tuple[int, int, int, int, int, int, int]:
@@ -220,7 +235,7 @@ def features(text: str) -> tuple[int, int, int, int, int, int, int]:
                 rest = n - d - sum(map(s.count, " ,;:\"'()[]{}\\+"))
                 if rest <= 0.15 * n or (d >= 48 and rest <= 0.4 * n):
                     data += n
-        if locks and _LOCK_LINE.search(s):
+        if locks and n and any(map(s.lower().__contains__, _LINE_HINTS)) and _LOCK_LINE.search(s):
             lock += 1
         if numeric and n > 3:
             k = _SKELETON.sub("0", s)
@@ -285,7 +300,8 @@ def recurring_share(evidence: DataFrame, min_repos: int = MIN_REPOS) -> DataFram
     repository; a row a fingerprint then goes to the files that have it.
     """
     seed = (in_third_party_folder(F.col("file_path")) | (F.col("third_party") > 0)).cast("int")
-    p = evidence.select("file_path", F.xxhash64(repository(F.col("file_path"))).alias("repo"), seed.alias("seed"), F.explode("fps").alias("fp"))
+    # the repository is told before the prints are laid out in rows: once a chunk
+    p = evidence.select("file_path", F.xxhash64(repository(F.col("file_path"))).alias("repo"), seed.alias("seed"), "fps").select("file_path", "repo", "seed", F.explode("fps").alias("fp"))
     by = p.groupBy("fp", "repo").agg(F.max("seed").alias("seed"))
     known = by.groupBy("fp").agg(F.count("*").alias("n"), F.sum("seed").alias("seeds"), F.max(F.when(F.col("seed") == 1, F.col("repo"))).alias("whose"))
     known = known.where((F.col("n") >= min_repos) | (F.col("seeds") > 0))
