@@ -10,11 +10,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def once(df: DataFrame, *keys: str) -> DataFrame:
-    """Rows that repeat in ``keys`` count once. The rows are hashed first, so a shuffle moves no long texts twice."""
-    return df.dropDuplicates(list(keys))
-
-
 def clean_name(col):
     """Names spelled with blanks, capitals or hyphens become one spelling."""
     return F.regexp_replace(F.lower(F.trim(col)), r"[\s-]+", "_")

@@ -308,6 +308,8 @@ def fit(docs: DataFrame, subjects: DataFrame, labels: DataFrame, rounds: int = R
         for b in batches:
             r, _, c = v.encode(b["sentences"])
             _, starts, c, n, _ = v.matrix(r, c)
+            if not len(starts):
+                continue
             ends = np.append(starts[1:], len(c))
             yield pd.DataFrame({"cols": [c[s:e].astype(np.int32) for s, e in zip(starts, ends)], "n": [n[s:e].astype(np.int32) for s, e in zip(starts, ends)]})
 

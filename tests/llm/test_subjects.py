@@ -97,3 +97,12 @@ def test_empty_tables(spark):
 @pytest.mark.parametrize("text, lang", [("Der Hund und die Katze sind nicht da.", "de"), ("The dog and the cat are not here.", "en"), ("El perro y la gata no son de la casa.", "es")])
 def test_languages(text, lang):
     assert s.by_language([text])[0].startswith(lang + "|")
+
+
+def test_partitions_without_known_terms(spark):
+    rows = [(i, "The guitar and the violin play a sonata. A choir sings the opera with a drum. The violin keeps the tempo of the guitar.") for i in range(6)] + [(i, "Xylo qwert zuio. Plok mnbv trew.") for i in range(10, 13)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(9, "doc_id")
+    sub = spark.createDataFrame([("Music", "guitar violin sonata")], "subject string, description string")
+    lab = spark.createDataFrame([(0, "music", "a"), (1, "music", "a"), (1, "music", "b")], "doc_id long, subject string, annotator string")
+    got = s.document_subjects(docs, sub, lab).collect()
+    assert {r["doc_id"] for r in got} <= set(range(6)) and all(0 < r["share"] <= 1 for r in got)
